@@ -6,11 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .media import op9_media
+from .pii import op10_pii
+from .quality import op4_quality
+from .repeats import op8_repeats
 from .simhash import op2_simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash,)}
+    return {f.__name__: f for f in (op2_simhash, op4_quality, op8_repeats, op9_media, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
