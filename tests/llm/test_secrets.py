@@ -1,0 +1,53 @@
+import hashlib
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from pipehat.llm import secrets
+
+SHA = hashlib.sha1(b"x").hexdigest()
+
+
+@pytest.fixture(scope="module")
+def trees(spark):
+    return secrets.forest(secrets.labelled_findings(spark))
+
+
+def test_forest_on_unseen_findings(spark, trees):
+    rows = secrets.labelled_findings(spark, 3600, seed=77)
+    votes = sum(trees[1:], trees[0]) / len(trees)
+    scored = rows.select("label", *(c.alias(k) for k, c in secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path")).items())).select("label", (votes >= secrets.TAKEN).alias("taken"))
+    got = [(r.label, int(r.taken)) for r in scored.collect()]
+    assert sum(a == b for a, b in got) / len(got) > 0.97
+
+
+def test_candidates_by_plain_pattern(spark):
+    texts = ["", None, f'é token = "{SHA}" and {SHA[:20]}x9', "1" * 40 + " 12 " + "a" * 30, "a-" * 20 + "b1", "k=" + "Zz9+" * 8 + "== =", "ab" * 60_000, f"{SHA}{SHA}" * 900]
+    df = spark.createDataFrame([(i, "p", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
+    got = sorted((r.doc_id, r.start, r.candidate) for r in secrets.candidates(df).collect())
+    want = sorted((i, m.start(), m[0]) for i, t in enumerate(texts) for m in re.finditer("[A-Za-z0-9+/_-]+={0,2}", t or "") if len(m[0]) >= 16 and re.search("[0-9]", m[0]))
+    assert got == want
+
+
+def test_scan(spark, trees):
+    rows = [
+        (1, "src0/en", f'words token = "{SHA}" more words', "clash"), (2, "src0/en", f"commit {SHA} fixes", None), (3, None, f'THE!! TOKEN = "{SHA.upper()}"!!', None),
+        (4, "a", None, None), (None, "a", f"api_key={SHA}", None), (6, "a", f"api_key={SHA}", None), (6, "a", f"api_key={SHA}", None), (7, "a", "", None), (8, "a", 'token = "XXXXXXXXXXXXXXXX0000"', None),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, candidate string")
+    got = secrets.secrets(df, trees)
+    assert sorted(str(r.doc_id) for r in got.collect()) == ["1", "3", "6", "6", "None"]
+    one = got.where("doc_id = 1").first()
+    assert (one.start, one.end, one.secret_sha256) == (15, 55, hashlib.sha256(SHA.encode()).hexdigest())
+    assert secrets.secrets(df.limit(0), trees).collect() == []
+    assert "Python" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_query_finds_the_planted_secrets(spark):
+    sf = "/root/testdata/sf0.01"
+    got = {(r.doc_id, r.start) for r in secrets.op7_secrets(spark, sf).collect()}
+    want = set()
+    for r in spark.read.parquet(f"{sf}/documents.parquet").collect():
+        want |= {(r.doc_id, m.start(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', r.text)}
+    assert want and got == want
