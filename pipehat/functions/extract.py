@@ -24,6 +24,11 @@ NUMBER = r"(?i)^[+-]?(inf|infinity|nan|([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?
 TRUE, FALSE, ERROR = 1, 0, 2
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, also within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def nth(text: Column, delimiter: Column, n: int) -> Column:
     """Part ``n`` (from 1) of a text; '' for part 0 and beyond the end."""
     return F.lit("") if not 0 < n <= _FAR else F.split_part(text, delimiter, F.lit(n))
@@ -82,15 +87,18 @@ def verdict(segment: Column, name: str, clause: Filter, d: Column) -> Column:
     if not clause.ordering:
         holds = target.isin(list(clause.values)) if clause.operator == "=" else F.lit(len(set(clause.values)) > 1) | (target != clause.values[0])
         return F.when(holds, TRUE).otherwise(FALSE)
-    nan = F.lower(target).endswith("nan")
-    number = F.when(~nan, target.try_cast("double"))
-    out = F.when(~target.rlike(NUMBER), ERROR)
-    for v in clause.values:
-        if not re.match(NUMBER, v):
-            return out.otherwise(ERROR)
-        if not math.isnan(float(v)):
-            out = out.when(_compare(number, clause.operator, float(v)), TRUE)
-    return out.otherwise(FALSE)
+
+    def judged(t: Column) -> Column:
+        number = F.when(~F.lower(t).endswith("nan"), t.try_cast("double"))
+        out = F.when(~t.rlike(NUMBER), ERROR)
+        for v in clause.values:
+            if not re.match(NUMBER, v):
+                return out.otherwise(ERROR)
+            if not math.isnan(float(v)):
+                out = out.when(_compare(number, clause.operator, float(v)), TRUE)
+        return out.otherwise(FALSE)
+
+    return let(target, judged)
 
 
 def no_error() -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.path import Filter, Hop, Path
 from ..plans.profile import ROOT, Profile
-from .extract import chosen, no_error, values_of
+from .extract import chosen, let, no_error, values_of
 
 NO_PARENT = -1
 
@@ -19,24 +19,31 @@ def parents(lines: Column, profile: Profile) -> Column:
     (the last one and its parents) that the profile lets it lie below, which closes all deeper ones; a
     segment that fits nowhere is left out and closes nothing. Work is quadratic in the segments of one message.
     """
-    moves = profile.transitions or {"": ROOT}
-    table = F.create_map(*(F.lit(x) for kv in moves.items() for x in kv))
+    # for each segment name, the node that it opens below each node
+    moves: dict[str, list[int | None]] = {}
+    for key, child in profile.transitions.items():
+        node, _, name = key.partition(":")
+        moves.setdefault(name, [None] * (len(profile.transitions) + 1))[int(node)] = child
+    nodes = lambda to: F.array(*(F.lit(x).cast("int") for x in to))
+    table = F.create_map(*(x for name, to in (moves or {"": [None]}).items() for x in (F.lit(name), nodes(to))))
     entry = lambda node, index: F.struct(node.cast("int").alias("node"), index.cast("int").alias("index"))
-    root = F.array(entry(F.lit(ROOT), F.lit(NO_PARENT)))
-    start = F.struct(root.alias("open"), F.array().cast("array<int>").alias("found"))
-
-    def step(state: Column, i: Column) -> Column:
-        key = lambda e: F.concat(e["node"].cast("string"), F.lit(":"), F.substring(F.get(lines, i), 1, 3))
-        fits = F.transform(state["open"], lambda e: F.when(i == 0, e["node"] == ROOT).otherwise(F.map_contains_key(table, key(e))))
-        depth = F.size(fits) - F.array_position(F.reverse(fits), True) + 1  # the deepest that fits, from 1
-        above = F.get(state["open"], (depth - 1).cast("int"))
-        node = F.coalesce(F.try_element_at(table, key(above)), F.lit(-1))
-        there = F.struct(
-            F.concat(F.slice(state["open"], F.lit(1), depth.cast("int")), F.array(entry(node, i))).alias("open"),
-            F.concat(state["found"], F.array(above["index"])).alias("found"),
-        )
-        dropped = F.struct(state["open"].alias("open"), F.concat(state["found"], F.array(F.lit(None).cast("int"))).alias("found"))
-        return F.when(F.exists(fits, lambda x: x), there).otherwise(dropped)
+    state = lambda open_, found: F.struct(open_.alias("open"), found.alias("found"))
+    start = state(F.array(entry(F.lit(ROOT), F.lit(NO_PARENT))), F.array().cast("array<int>"))
+
+    def step(now: Column, i: Column) -> Column:
+        opened, found = now["open"], now["found"]
+
+        def attach(to: Column) -> Column:
+            deepest = F.array_max(F.transform(opened, lambda e, k: F.when(F.get(to, e["node"]).isNotNull(), k + 1)))
+            return let(F.when(i == 0, F.lit(1)).otherwise(deepest), lambda depth: below(to, depth))
+
+        def below(to: Column, depth: Column) -> Column:
+            above = F.get(opened, depth - 1)
+            node = F.coalesce(F.get(to, above["node"]), F.lit(-1))
+            there = state(F.concat(F.slice(opened, F.lit(1), depth), F.array(entry(node, i))), F.concat(found, F.array(above["index"])))
+            return F.when(depth.isNull(), state(opened, F.concat(found, F.array(F.lit(None).cast("int"))))).otherwise(there)
+
+        return let(F.try_element_at(table, F.substring(F.get(lines, i), 1, 3)), attach)
 
     return F.aggregate(F.sequence(F.lit(0), F.size(lines) - 1), start, step, lambda s: s["found"])
 

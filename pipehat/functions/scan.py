@@ -27,6 +27,25 @@ def delimiters(message: Column) -> Column:
     return F.struct(*(F.substring(message, 4 + i, 1).alias(d) for i, d in enumerate(DELIMITERS)))
 
 
+class Signs:
+    """The delimiters in a text of five characters, by name.
+
+    Within lambdas a plain text is used for them: Spark's pruning of struct fields loses track of fields that
+    are only read there.
+    """
+
+    def __init__(self, text: Column):
+        self.text = text
+
+    def __getitem__(self, name: str) -> Column:
+        return F.substring(self.text, DELIMITERS.index(name) + 1, 1)
+
+
+def signs(d: Column) -> Column:
+    """The delimiters struct as a text of five characters."""
+    return F.concat(*(d[k] for k in DELIMITERS))
+
+
 def segments(message: Column) -> Column:
     """The segments as an array of text. One terminator at the end of the message opens no segment."""
     lines = F.split(message, TERMINATOR, -1)

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract
 from ..plans.path import ALL, LAST, Part, Path, parse
-from .frames import _scanned
+from .frames import _scanned, held, own_signs
 
 HASH, REMOVE = "$HASH", "$REMOVE"
 
@@ -132,20 +132,20 @@ def deidentify(messages: DataFrame, rules: list[str], message: str = "message",
     MSH-1 and MSH-2 can't be redacted. Messages that don't scan are null, with null redactions.
     """
     kept = messages.columns
-    d = F.col("delimiters")
+    d = own_signs()
     rows = _scanned(messages, message=message)
-    rows = rows.withColumn("__e0", F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"), F.lit(False).alias("gone"))))
+    rows = held(rows, {"__e0": F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"), F.lit(False).alias("gone")))})
     reports = []
     for k, text in enumerate(rules):
         r = rule(text)
         if r.path.first.name == "MSH" and r.path.last.field is not None and r.path.last.field.part.field <= 2:
             raise ValueError("the delimiters of a message can't be redacted")
-        rows = rows.withColumn(f"__e{k + 1}", _apply(F.col(f"__e{k}"), r, d))
+        rows = held(rows, {f"__e{k + 1}": _apply(F.col(f"__e{k}"), r, d)})
         both = F.arrays_zip(F.col(f"__e{k}").alias("a"), F.col(f"__e{k + 1}").alias("b"))
-        changed = F.filter(both, lambda z: (z["a.text"] != z["b.text"]) | (z["a.gone"] != z["b.gone"]))
+        changed = F.filter(both, lambda z: (z["a"]["text"] != z["b"]["text"]) | (z["a"]["gone"] != z["b"]["gone"]))
         index = r.path.last.field.repetition if r.path.last.field and isinstance(r.path.last.field.repetition, int) else 0
         done = {HASH: "hashed", REMOVE: "segment removed"}.get(r.replacement, f"replaced with {r.replacement}")
-        reports.append(F.transform(changed, lambda z, r=r, index=index, done=done: F.struct(F.lit(r.path.source).alias("path"), F.lit(index).alias("field_index"), F.lit(done).alias("rule"), F.lit(r.condition.text if r.condition else None).cast("string").alias("condition"), z["a.line"].alias("line_number"))))
+        reports.append(F.transform(changed, lambda z: F.struct(F.lit(r.path.source).alias("path"), F.lit(index).alias("field_index"), F.lit(done).alias("rule"), F.lit(r.condition.text if r.condition else None).cast("string").alias("condition"), z["a"]["line"].alias("line_number"))))
     final = F.filter(F.col(f"__e{len(rules)}"), lambda e: ~e["gone"])
     clean = F.array_join(F.transform(final, lambda e: e["text"]), terminator)
     empty = F.array().cast("array<struct<path:string,field_index:int,rule:string,condition:string,line_number:int>>")

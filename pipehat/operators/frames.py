@@ -18,23 +18,39 @@ from ..plans.profile import Profile
 SCANNED = ("delimiters", "segments", "scan_error")
 
 
+def held(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """``df`` with more columns, each evaluated once.
+
+    They come from a generator, as filters aren't pushed below one: the optimiser would write such long
+    expressions into each filter above, and again into one another.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items()))))) if columns else df
+
+
 def scan(messages: DataFrame, message: str = "message", strict_msh2: bool = False, on_error: str = "capture") -> DataFrame:
     """``messages`` with delimiters, segments (array of text) and scan_error; the first two are null where the third isn't."""
     if on_error not in ("capture", "failfast"):
         raise ValueError(f"unknown on_error {on_error!r}")
     text = F.col(message)
-    rows = messages.drop(*SCANNED).withColumn("segments", scans.segments(text))
-    rows = rows.withColumn("scan_error", scans.scan_error(text, F.col("segments"), strict_msh2))
+    rows = held(messages.drop(*SCANNED), {"__lines": scans.segments(text)})
+    rows = held(rows, {"scan_error": scans.scan_error(text, F.col("__lines"), strict_msh2)})
     good = F.col("scan_error").isNull() & text.isNotNull()
-    segments = F.when(good, F.col("segments"))
+    segments = F.when(good, F.col("__lines"))
     if on_error == "failfast":
         said = F.raise_error(scans.scan_error_text(F.col("scan_error"))).cast("array<string>")
         segments = F.when(F.col("scan_error").isNotNull(), said).otherwise(segments)
-    return rows.withColumns({"delimiters": F.when(good, scans.delimiters(text)), "segments": segments})
+    return rows.withColumns({"delimiters": F.when(good, scans.delimiters(text)), "segments": segments}).drop("__lines")
 
 
 def _scanned(df: DataFrame, **options) -> DataFrame:
-    return df if set(SCANNED) <= set(df.columns) else scan(df, **options)
+    """``df`` scanned if it isn't, with its delimiters as a text for ``own_signs``."""
+    rows = df if set(SCANNED) <= set(df.columns) else scan(df, **options)
+    return held(rows.drop("__signs"), {"__signs": scans.signs(F.col("delimiters"))})
+
+
+def own_signs() -> scans.Signs:
+    """The delimiters of a ``_scanned`` frame."""
+    return scans.Signs(F.col("__signs"))
 
 
 def query(
@@ -68,14 +84,15 @@ def query(
     kept = messages.columns
     rows = _scanned(messages, message=message, strict_msh2=strict_msh2, on_error=on_error)
     extra = [c for c in rows.columns if c not in kept]
-    lines, d = F.col("segments"), F.col("delimiters")
+    lines, d = F.col("segments"), own_signs()
 
     down = {n: p for n, p in plans.items() if p.has_child and profile is not None and build_hierarchy and (len(p.hops) == 2 or hops == "chain")}
     flat = {n: p for n, p in plans.items() if not p.has_child}
     picked = {name: f"__{name}" for name in sorted({p.first.name for p in flat.values()})}
-    rows = rows.select("*", *(extract.named(lines, name).alias(c) for name, c in picked.items()))
+    rows = held(rows, {c: extract.named(lines, name) for name, c in picked.items()})
     if down:
-        rows = rows.withColumn("__parents", hierarchy.parents(lines, profile)).withColumn("__nodes", hierarchy.placed(lines, F.col("__parents")))
+        rows = held(rows, {"__parents": hierarchy.parents(lines, profile)})
+        rows = held(rows, {"__nodes": hierarchy.placed(lines, F.col("__parents"))})
 
     def column(name: str, p: Path) -> list[Column]:
         if name in down:
@@ -127,9 +144,9 @@ def located_values(messages: DataFrame, path: str, id_column: str = "message_id"
     if plan.has_child:
         raise PathError("TrailingInput", path, path.index(" -> "))
     rows = _scanned(messages, **options)
-    d = F.col("delimiters")
+    d = own_signs()
     entries = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e: F.startswith(e["text"], F.lit(plan.first.name)))
-    rows = rows.select(id_column, "delimiters", entries.alias("__entries"))
+    rows = held(rows, {"__entries": entries})
     found, error = extract.chosen(F.col("__entries"), plan.first, d, lambda e: e["text"])
     found = F.transform(found, lambda e: F.struct(e["line"].alias("line"), extract.segment_values(e["text"], plan.first.name, plan.last.field, d).alias("v")))
     rows = rows.where(error.isNull()).select(id_column, F.filter(found, lambda e: F.size(e["v"]) > 0).alias("f"))
@@ -166,9 +183,9 @@ def segments_long(messages: DataFrame, id_column: str = "message_id", profile: P
 def delimiter_occurrences(messages: DataFrame, id_column: str = "message_id", message: str = "message") -> DataFrame:
     """(id, segment_index, offset, kind): each delimiter byte of each segment, those that define the delimiters included."""
     rows = _scanned(messages, message=message)
-    rows = rows.select(id_column, "delimiters", F.posexplode(F.arrays_zip(F.col("segments").alias("raw"), scans.spans(F.col(message), F.col("segments")).alias("span"))).alias("segment_index", "z"))
-    rows = rows.select(id_column, "delimiters", "segment_index", F.col("z.span.start").alias("start"), F.posexplode(F.split(scans.byte_view(F.col("z.raw")), "")).alias("at", "byte"))
-    kind = scans.delimiter_kind(F.col("byte"), F.col("delimiters"))
+    rows = rows.select(id_column, "__signs", F.posexplode(F.arrays_zip(F.col("segments").alias("raw"), scans.spans(F.col(message), F.col("segments")).alias("span"))).alias("segment_index", "z"))
+    rows = rows.select(id_column, "__signs", "segment_index", F.col("z.span.start").alias("start"), F.posexplode(F.split(scans.byte_view(F.col("z.raw")), "")).alias("at", "byte"))
+    kind = scans.delimiter_kind(F.col("byte"), own_signs())
     return rows.select(id_column, "segment_index", (F.col("start") + F.col("at")).alias("offset"), kind.alias("kind")).where("kind is not null")
 
 
@@ -181,9 +198,9 @@ def peek(name: str) -> Column:
 
 
 def _entry(name: str) -> Column:
-    lines = F.transform("segments", lambda s, i: F.struct((i + 1).alias("line_number"), F.split_part(s, F.col("delimiters.field"), F.lit(1)).alias("head"), s.alias("raw")))
+    lines = F.transform("segments", lambda s, i: F.struct((i + 1).alias("line_number"), s.alias("raw")))
     own = F.filter(lines, lambda e: F.startswith(e["raw"], F.lit(name)))
-    return F.transform(own, lambda e: F.struct(e["line_number"].alias("line_number"), extract.split_on(e["raw"], F.col("delimiters.field")).alias("fields")))
+    return F.transform(own, lambda e: F.struct(e["line_number"].alias("line_number"), extract.split_on(e["raw"], F.col("delimiters")["field"]).alias("fields")))
 
 
 def retrieve_multiple_segments(name: str) -> Column:

@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, scan as scans
-from ..plans.path import ALL, Field, Part, parse
+from ..plans.path import parse
 from ..plans.profile import FieldRule, Profile, cardinality
 from ..sources.files import ENVELOPE
-from .frames import _scanned, query, segments_long
+from .frames import _scanned, own_signs
 
 ERROR, WARNING = "ERROR", "WARNING"
 ENTRY = "struct<line:int,begin_column:int,end_column:int,path:string,classification:string,category:string,description:string>"
@@ -113,18 +113,18 @@ def _component_entries(rule: FieldRule, profile: Profile, s: Column, d: Column)
     """Components of a composite type that the profile describes under ``segmentFields`` by the type's name, one level at a time."""
     out = []
     for part in (r for r in profile.rules if r.segment == rule.data_type):
-        values = F.transform(extract.split_on(extract.field_text(s["text"], rule.segment, rule.number, d), d["repetition"]), lambda r, k=part.number: extract.nth(r, d["component"], k))
+        values = F.transform(extract.split_on(extract.field_text(s["text"], rule.segment, rule.number, d), d["repetition"]), lambda r: extract.nth(r, d["component"], part.number))
         path = F.concat(F.lit(f"{rule.segment}["), s["occurrence"].cast("string"), F.lit(f"]-{rule.number}.{part.number}"))
         label = f"{rule.segment}-{rule.number}.{part.number} {part.name}".strip()
         whole = extract.field_text(s["text"], rule.segment, rule.number, d) != ""
-        entry = lambda category, said, path=path: _entry(s["line"], path, category, F.lit(said))
+        entry = lambda category, said: _entry(s["line"], path, category, F.lit(said))
         if part.usage == "R":
             out.append(F.when(whole & F.exists(values, lambda v: v == ""), entry("INVALID_USAGE", f"{label} is required")))
         if part.data_type in TYPE_PATTERNS:
             pattern = TYPE_PATTERNS[part.data_type]
-            out.append(F.when(F.exists(values, lambda v, p=pattern: (v != "") & ~v.rlike(p)), entry("INVALID_FIELD_TYPE", f"{label} is not a valid {part.data_type}")))
+            out.append(F.when(F.exists(values, lambda v: (v != "") & ~v.rlike(pattern)), entry("INVALID_FIELD_TYPE", f"{label} is not a valid {part.data_type}")))
         if part.most_length is not None:
-            out.append(F.when(F.exists(values, lambda v, n=part.most_length: F.length(v) > n), entry("INVALID_FIELD_LENGTH", f"{label} is longer than {part.most_length}")))
+            out.append(F.when(F.exists(values, lambda v: F.length(v) > part.most_length), entry("INVALID_FIELD_LENGTH", f"{label} is longer than {part.most_length}")))
     return out
 
 
@@ -142,13 +142,13 @@ def _condition(rule: FieldRule, s: Column, d: Column) -> Column | None:
 def field_checks(messages: DataFrame, profile: Profile, id_column: str = "message_id") -> DataFrame:
     """Usage, repetitions, data type, length and constant of each field that a profile's ``segmentFields`` describes."""
     rows = _scanned(messages).where("segments is not null")
-    d = F.col("delimiters")
+    d = own_signs()
     entries = []
     for name in dict.fromkeys(r.segment for r in profile.rules if len(r.segment) == 3 and r.segment[0].isalpha()):
-        lines = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e, name=name: F.startswith(e["text"], F.lit(name)))
+        lines = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e: F.startswith(e["text"], F.lit(name)))
         own = F.transform(lines, lambda e, i: F.struct(e["line"].alias("line"), (i + 1).alias("occurrence"), e["text"].alias("text")))
         rules = [r for r in profile.rules if r.segment == name]
-        entries.append(F.flatten(F.transform(own, lambda s, rules=rules: F.array(*(x.cast(ENTRY) for r in rules for x in [*_field_entries(r, s, d, _condition(r, s, d)), *_component_entries(r, profile, s, d)])))))
+        entries.append(F.flatten(F.transform(own, lambda s: F.array(*(x.cast(ENTRY) for r in rules for x in [*_field_entries(r, s, d, _condition(r, s, d)), *_component_entries(r, profile, s, d)])))))
     if not entries:
         return _rows(rows.where("false"), id_column, F.array(F.lit(None).cast(ENTRY)))
     return _rows(rows, id_column, F.concat(*entries))
@@ -186,7 +186,7 @@ def _given(values: Column) -> Column:
 def predicate_errors(messages: DataFrame, rules: list[dict], id_column: str = "message_id") -> DataFrame:
     """Fields that are empty although another, in the same occurrence of the segment, is empty (requiredIfEmpty) or given (requiredIfNotEmpty)."""
     rows = _scanned(messages).where("segments is not null")
-    d = F.col("delimiters")
+    d = own_signs()
     entries = []
     for rule in rules:
         if rule["name"] not in ("requiredIfEmpty", "requiredIfNotEmpty"):
@@ -194,7 +194,7 @@ def predicate_errors(messages: DataFrame, rules: list[dict], id_column: str = "m
         other = parse(rule["reference"])
         same = other.first.name == parse(rule["field"]).first.name
 
-        def wrong(e: Column, rule=rule, other=other, same=same) -> Column:
+        def wrong(e: Column) -> Column:
             there = _given(extract.segment_values(e["text"], other.first.name, other.last.field, d)) if same else F.exists(_located(rule["reference"], d), lambda x: _given(x["values"]))
             due = ~there if rule["name"] == "requiredIfEmpty" else there
             path = F.concat(F.lit(f"{parse(rule['field']).first.name}["), e["occurrence"].cast("string"), F.lit(f"]-{rule['field'].partition('-')[2]}"))
@@ -207,7 +207,7 @@ def predicate_errors(messages: DataFrame, rules: list[dict], id_column: str = "m
 def conformance_errors(messages: DataFrame, rules: list[dict], id_column: str = "message_id") -> DataFrame:
     """Values that don't match a pattern (regEx) or aren't a constant, and fields not given exactly once in the message (existsUnique)."""
     rows = _scanned(messages).where("segments is not null")
-    d = F.col("delimiters")
+    d = own_signs()
     entries = []
     for rule in rules:
         said = F.lit(rule.get("description") or f"{rule['field']}: {rule['name']} {rule.get('reference', '')}")
@@ -218,9 +218,9 @@ def conformance_errors(messages: DataFrame, rules: list[dict], id_column: str =
             continue
         if rule["name"] not in ("regEx", "constant"):
             raise ValueError(f"unknown conformance rule {rule['name']!r}")
-        good = (lambda v, r=rule: v.rlike(f"^(?:{r['reference']})$")) if rule["name"] == "regEx" else (lambda v, r=rule: v == r["reference"])
-        path = lambda e, r=rule: F.concat(F.lit(f"{parse(r['field']).first.name}["), e["occurrence"].cast("string"), F.lit(f"]-{r['field'].partition('-')[2]}"))
-        entries.append(F.transform(found, lambda e, good=good, said=said, path=path: F.when(F.exists(e["values"], lambda v: ~good(v)), _entry(e["line"], path(e), "INVALID_CONFORMANCE", said).cast(ENTRY))))
+        good = (lambda v: v.rlike(f"^(?:{rule['reference']})$")) if rule["name"] == "regEx" else (lambda v: v == rule["reference"])
+        path = lambda e: F.concat(F.lit(f"{parse(rule['field']).first.name}["), e["occurrence"].cast("string"), F.lit(f"]-{rule['field'].partition('-')[2]}"))
+        entries.append(F.transform(found, lambda e: F.when(F.exists(e["values"], lambda v: ~good(v)), _entry(e["line"], path(e), "INVALID_CONFORMANCE", said).cast(ENTRY))))
     return _rows(rows, id_column, F.concat(*entries) if entries else F.array(F.lit(None).cast(ENTRY)))
 
 

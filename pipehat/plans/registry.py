@@ -202,7 +202,7 @@ def empty_removed(spark, sf_dir):
     return rows.select("message_id", extract.first_value(F.col("kept")).alias("kept"), F.col("gone").isNull().alias("gone"))
 
 
-@_query("SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(min(at) AS BIGINT) AS least_offset FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'MissingMsh' WHEN 1 THEN 'TruncatedMsh' WHEN 2 THEN 'UnrecognizedSegment' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 13 + length(CAST(o_orderkey AS VARCHAR)) END AS at FROM m) GROUP BY 1")
+@_query("SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(min(place) AS BIGINT) AS least_offset FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'MissingMsh' WHEN 1 THEN 'TruncatedMsh' WHEN 2 THEN 'UnrecognizedSegment' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 12 + length(CAST(o_orderkey AS VARCHAR)) END AS place FROM m) GROUP BY 1")
 def scan_errors(spark, sf_dir):
     """Broken messages are counted by what is wrong with them and where."""
     k = F.col("message_id") % 4
@@ -212,7 +212,7 @@ def scan_errors(spark, sf_dir):
     return rows.groupBy("scan_error.kind").agg(F.count("*").alias("n"), F.min("scan_error.offset").alias("least_offset"))
 
 
-@_query("SELECT 'scan' AS what, 'segment 1 at offset ' || (13 + length(CAST(o_orderkey AS VARCHAR))) || ' has an unrecognized name' AS said, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL")
+@_query("SELECT 'scan' AS what, 'segment 1 at offset ' || (12 + length(CAST(o_orderkey AS VARCHAR))) || ' has an unrecognized name' AS said, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL")
 def scan_error_texts(spark, sf_dir):
     text = F.concat(F.lit("MSH|^~\\&|"), F.col("message_id").cast("string"), F.lit("|\r\npid|1"))
     rows = frames.scan(synth.messages(spark, sf_dir).select("message_id", text.alias("message")))
