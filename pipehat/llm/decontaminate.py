@@ -48,6 +48,25 @@ def pairs(hashes: np.ndarray) -> np.ndarray:
     return mixed(hashes[:-1] * np.uint64(31) + hashes[1:])
 
 
+_LOW = np.uint64((1 << 20) - 1)
+
+
+def marks(values: np.ndarray) -> np.ndarray:
+    """A table of the low bits of ``values``, so that most strangers are told apart without a search."""
+    out = np.zeros(1 << 20, bool)
+    out[values & _LOW] = True
+    return out
+
+
+def among(values: np.ndarray, known: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Which of ``values`` are in the sorted ``known``, whose marks are ``table``."""
+    out = table[values & _LOW]
+    maybe = np.flatnonzero(out)
+    own = values.ravel()[maybe] if values.ndim > 1 else values[maybe]
+    out.ravel()[maybe] = known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own
+    return out
+
+
 @dataclass
 class Class:
     """Items of nearly the same number of words, and the keys of their walks: sorted, with the item of each."""
@@ -57,6 +76,7 @@ class Class:
     steps: int
     keys: np.ndarray
     owners: np.ndarray
+    marks: np.ndarray
 
     @property
     def needed(self) -> int:
@@ -72,6 +92,8 @@ class Items:
     ids: list
     hashes: list[np.ndarray]
     pairs: np.ndarray
+    marks: np.ndarray
+    repeats: int
     classes: list[Class]
 
 
@@ -117,11 +139,13 @@ def prepare(items: list[tuple[object, bytes]]) -> Items:
         ends = np.cumsum([len(h) for h in own])
         keys = walk_keys(np.concatenate(own), ends - [len(h) for h in own], ends, steps, least)
         order = np.argsort(keys.ravel(), kind="stable")
-        classes.append(Class(least, len(own[-1]), steps, keys.ravel()[order], np.repeat(np.arange(k, stop), keys.shape[1])[order]))
+        ordered = keys.ravel()[order]
+        classes.append(Class(least, len(own[-1]), steps, ordered, np.repeat(np.arange(k, stop), keys.shape[1])[order], marks(ordered)))
         k = stop
     hashes = [h for _, h in held]
     known = np.unique(np.concatenate([pairs(h) for h in hashes])) if hashes else np.empty(0, np.uint64)
-    return Items([i for i, _ in held], hashes, known, classes)
+    repeats = max((int(np.unique(pairs(h), return_counts=True)[1].max()) for h in hashes), default=0)
+    return Items([i for i, _ in held], hashes, known, marks(known), repeats, classes)
 
 
 def infix_distance(item: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -145,9 +169,13 @@ def found(items: Items, sequence: np.ndarray, rows: np.ndarray) -> list[tuple[in
     if len(sequence) < 2 or not items.classes:
         return []
     own = pairs(sequence)
-    at = np.searchsorted(items.pairs, own)
-    hit = items.pairs[np.minimum(at, len(items.pairs) - 1)] == own
+    hit = among(own, items.pairs, items.marks)
     hit[rows[1:-1][(rows[1:-1] > 0) & (rows[1:-1] < len(sequence))] - 1] = False  # pairs across rows
+    # of one pair over and over, an item holds ``repeats`` at most: those further inside such a run don't count
+    heads = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+    size = np.diff(np.concatenate([heads, [len(own)]]))
+    past = np.arange(len(own)) - np.repeat(heads, size)
+    hit &= (past < items.repeats) | (np.repeat(size, size) - past <= items.repeats)
     total = np.concatenate([[0], np.cumsum(hit)])
     row_of = np.repeat(np.arange(len(rows) - 1), np.diff(rows))
     candidates: list[np.ndarray] = []
@@ -159,12 +187,11 @@ def found(items: Items, sequence: np.ndarray, rows: np.ndarray) -> list[tuple[in
         for k in range(0, len(starts), 1 << 14):
             s = starts[k : k + (1 << 14)]
             keys = walk_keys(sequence, s, rows[row_of[s] + 1], c.steps, c.least)
-            low = np.searchsorted(c.keys, keys.ravel(), "left")
-            high = np.searchsorted(c.keys, keys.ravel(), "right")
-            met = np.flatnonzero(high > low)
-            counts = (high - low)[met]
+            met = np.flatnonzero(among(keys, c.keys, c.marks))
+            low = np.searchsorted(c.keys, keys.ravel()[met], "left")
+            counts = np.searchsorted(c.keys, keys.ravel()[met], "right") - low
             each = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
-            owners = c.owners[np.repeat(low[met], counts) + each]
+            owners = c.owners[np.repeat(low, counts) + each]
             candidates.append(np.unique(np.stack([owners, np.repeat(s[met // keys.shape[1]], counts)], 1), axis=0))
     if not candidates:
         return []
@@ -175,6 +202,15 @@ def found(items: Items, sequence: np.ndarray, rows: np.ndarray) -> list[tuple[in
         most = edits(len(goal))
         starts = every[every[:, 0] == item, 1]
         width = len(goal) + 3 * most
+        # the same count as above, of this item's own pairs
+        needed = len(goal) - 1 - 2 * most
+        if needed > 0:
+            mine = np.unique(pairs(goal))
+            table = marks(mine)
+            low = np.maximum(starts - most, rows[row_of[starts]])
+            place = low[:, None] + np.arange(width - 1)
+            inside = place < rows[row_of[starts] + 1][:, None] - 1
+            starts = starts[(among(own[np.minimum(place, len(own) - 1)], mine, table) & inside).sum(1) >= needed]
         for k in range(0, len(starts), 4096):
             s = starts[k : k + 4096]
             low = np.maximum(s - most, rows[row_of[s]])
