@@ -179,7 +179,7 @@ def child_by_number(spark, sf_dir):
     return rows.where("second is not null")
 
 
-@_query("SELECT o_orderkey AS message_id, n + 4 + coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS note_line, l_partkey AS part FROM x QUALIFY l_returnflag = 'R'")
+@_query("SELECT o_orderkey AS message_id, CAST(n + 4 + coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS note_line, l_partkey AS part FROM x QUALIFY l_returnflag = 'R'")
 def note_parents(spark, sf_dir):
     """Notes joined to the segment they lie under, in the long form."""
     rows = frames.segments_long(synth.messages(spark, sf_dir), profile=PROFILE)
@@ -187,7 +187,7 @@ def note_parents(spark, sf_dir):
     above = rows.select(F.col("message_id").alias("id"), F.col("segment_index").alias("i"), "raw", "line_number")
     both = notes.join(above, (F.col("message_id") == F.col("id")) & (F.col("parent_index") == F.col("i")))
     part = F.split_part(F.split_part("raw", F.lit("|"), F.lit(4)), F.lit("^"), F.lit(1))
-    return both.select("message_id", F.col("line_number").cast("decimal(38,0)").alias("note_line"), part.cast("long").alias("part"))
+    return both.select("message_id", F.col("line_number").cast("long").alias("note_line"), part.cast("long").alias("part"))
 
 
 @_query("SELECT o_orderkey AS message_id, 'returned & kept ' || min_by(l_partkey, n) AS note FROM x WHERE l_returnflag = 'R' GROUP BY 1")
@@ -287,7 +287,7 @@ def redactions(spark, sf_dir):
     return deidentify.redaction_report(rows).groupBy("rule").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT c_nationkey AS nation, l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, CAST(round(sum(l_extendedprice) * 100) AS BIGINT) AS cents FROM x GROUP BY ALL")
+@_query("SELECT CAST(c_nationkey AS BIGINT) AS nation, l_returnflag AS flag, CAST(count(*) AS BIGINT) AS n, CAST(round(sum(l_extendedprice) * 100) AS BIGINT) AS cents FROM x GROUP BY ALL")
 def values_joined(spark, sf_dir):
     """Extracted values grouped like any other columns."""
     rows = frames.query(synth.messages(spark, sf_dir), {"nation": "PID-11", "flag": "OBX-5[2]", "price": "OBX-6"})
