@@ -1,4 +1,6 @@
-"""``python -m pipehat.cli FILE PATH [--first]``: the values of a path in a message file.
+"""``python -m pipehat.cli FILE PATH [--first] [--profile=FILE]``: the values of a path in a message file.
+
+A path with an arrow needs a profile.
 
 Exit code 0 if there are any, 1 if there are none, 2 on an error.
 """
@@ -13,15 +15,17 @@ from .functions.extract import query_error_text
 from .functions.scan import scan_error_text
 from .operators.frames import query, rendered, scan
 from .plans.path import PathError, parse
+from .plans.profile import Profile
 
 
 def run(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stderr) -> int:
     from pyspark.sql import functions as F
 
     first = "--first" in args
-    places = [a for a in args if a != "--first"]
+    profile = next((a.partition("=")[2] for a in args if a.startswith("--profile=")), None)
+    places = [a for a in args if not a.startswith("--")]
     if len(places) != 2:
-        print("usage: pipehat FILE PATH [--first]", file=err)
+        print("usage: pipehat FILE PATH [--first] [--profile=FILE]", file=err)
         return 2
     try:
         with open(places[0], "rb") as f:
@@ -39,10 +43,10 @@ def run(spark: SparkSession, args: list[str], out=sys.stdout, err=sys.stderr) ->
     except PathError as e:
         print(f"path error: {e}", file=err)
         return 2
-    if path.has_child:
-        print("a child path needs a profile; use the DataFrame API", file=err)
+    if path.has_child and not profile:
+        print("a path with an arrow needs a profile", file=err)
         return 2
-    row = query(rows, {"v": places[1]}).select("v", rendered(F.col("v")).alias("lines"), query_error_text(F.col("v_error")).alias("said")).first()
+    row = query(rows, {"v": places[1]}, profile=Profile.load(profile) if profile else None).select("v", rendered(F.col("v")).alias("lines"), query_error_text(F.col("v_error")).alias("said")).first()
     if row["said"]:
         print(f"query error: {row['said']}", file=err)
         return 2

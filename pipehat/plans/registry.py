@@ -304,6 +304,45 @@ def rendered_lines(spark, sf_dir):
     return rows.select("message_id", F.get(frames.rendered(F.col("values")), F.lit(0)).alias("line"))
 
 
+@_query(
+    f"""SELECT o_orderkey AS message_id, 4 + 1 AS first_line, CAST(l_partkey AS VARCHAR) AS part, 'segment OBX found more than once' AS more, 'segment ZZZ not found' AS none, 'ORC|RE' AS orc
+    FROM x WHERE n = 1 AND o_orderkey IN (SELECT o_orderkey FROM x WHERE n = 2)"""
+)
+def segments_by_name(spark, sf_dir):
+    """The first, the only and all segments of a name; what is wrong is told for each message."""
+    rows = frames.scan(synth.messages(spark, sf_dir)).where(frames.peek("OBX") > 1)
+    rows = rows.select("message_id", frames.retrieve_first_segment("OBX").alias("f"), frames.retrieve_segment("OBX").alias("more"), frames.retrieve_first_segment("ZZZ").alias("none"), frames.retrieve_segment("ORC").alias("orc"))
+    part = F.split_part(F.get("f.fields", F.lit(3)), F.lit("^"), F.lit(1))
+    return rows.select("message_id", F.col("f.line_number").alias("first_line"), part.alias("part"), F.col("more.error").alias("more"), F.col("none.error").alias("none"), F.array_join(F.slice("orc.fields", 1, 2), "|").alias("orc"))
+
+
+@_query("SELECT o_orderkey AS message_id, CAST(count(*) AS BIGINT) AS n, CAST(max(line) AS INTEGER) AS last_line FROM (SELECT o_orderkey, n + 4 + coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS line FROM x) GROUP BY 1")
+def segment_maps(spark, sf_dir):
+    """All segments of a name as a map from line to fields."""
+    rows = frames.scan(synth.messages(spark, sf_dir)).select("message_id", frames.retrieve_multiple_segments("OBX").alias("m"))
+    return rows.select("message_id", F.size("m").cast("long").alias("n"), F.array_max(F.map_keys("m")).alias("last_line"))
+
+
+@_query("SELECT o_orderkey AS message_id, n AS occurrence, p_name AS name, l_returnflag AS flag FROM x")
+def line_values(spark, sf_dir):
+    """Paths over single segment lines, and a field split into its components."""
+    rows = frames.scan(synth.messages(spark, sf_dir))
+    rows = rows.select("message_id", "delimiters", F.posexplode(extract.named(F.col("segments"), "OBX")).alias("k", "line"))
+    d = F.col("delimiters")
+    name = F.get(frames.split_fields(F.col("line"), 3, d)["parts"], F.lit(1))
+    return rows.select("message_id", (F.col("k") + 1).cast("long").alias("occurrence"), name.alias("name"), F.get(frames.segment_value(F.col("line"), "OBX-5[2]", d), F.lit(0)).alias("flag"))
+
+
+@_query("SELECT category, path, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(CASE o_orderkey % 3 WHEN 0 THEN [{'category': 'INVALID_BATCH_SEGMENTS', 'path': 'BHS'}] WHEN 1 THEN [{'category': 'INVALID_BATCH_SEGMENT', 'path': 'BTS'}] ELSE [] END, recursive := true) FROM m) GROUP BY ALL")
+def batch_checks(spark, sf_dir):
+    """Batch envelopes that lack a header or count wrongly, or are as they should be."""
+    k = F.col("message_id") % 3
+    head = F.when(k == 0, "FHS|a\r").otherwise("FHS|a\rBHS|b\r")
+    tail = F.when(k == 1, "\rBTS|7\rFTS|1").otherwise("\rBTS|1\rFTS|1")
+    rows = synth.messages(spark, sf_dir).select("message_id", F.concat(head, F.col("message"), tail).alias("message"))
+    return validate.batch_errors(rows).groupBy("category", "path").agg(F.count("*").alias("n"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -64,3 +64,27 @@ def observation_text(messages: DataFrame, id_column: str = "message_id") -> Data
     rows = located_values(messages, "OBX-5", id_column)
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("repetition", "value"))), lambda x: x["value"]), "\n")
     return rows.groupBy(id_column, "line_number").agg(text.alias("text"))
+
+
+def write_each(messages: DataFrame, path: str, column: str = "message") -> None:
+    """A folder ``message_id=<id>`` for each message, with one text file: for few messages, as each is a file of its own."""
+    messages.select("message_id", F.col(column).alias("value")).write.partitionBy("message_id").option("lineSep", "\r").text(path)
+
+
+def write_observation_text(messages: DataFrame, path: str, id_column: str = "message_id") -> None:
+    """The ``observation_text`` of each message, in line order, as text files."""
+    rows = observation_text(messages, id_column)
+    rows.repartition(id_column).sortWithinPartitions(id_column, "line_number").select(F.col("text").alias("value")).write.text(path)
+
+
+def deidentify_files(spark: SparkSession, path: str, rules_path: str, out: str) -> DataFrame:
+    """Clean the messages of ``path`` by the rules in a text file (a rule a line; empty lines and # lines are skipped).
+
+    The messages go to ``out``; the report of what was done comes back.
+    """
+    from ..operators.deidentify import deidentify, redaction_report
+
+    lines = [r.value.strip() for r in spark.read.text(rules_path).collect()]
+    cleaned = deidentify(read_messages(spark, path, split=True), [r for r in lines if r and not r.startswith("#")])
+    write_messages(cleaned.where("message is not null"), out)
+    return redaction_report(cleaned)

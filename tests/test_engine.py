@@ -145,6 +145,15 @@ def test_files_and_batches(spark, tmp_path):
     again = files.read_messages(spark, f"{tmp_path}/out/*.txt", split=True).collect()
     assert [r.message.rstrip("\r") for r in again] == [REPORT, TREE]
     assert [r.text for r in files.observation_text(df.limit(0)).collect()] == []
+    (tmp_path / "rules.txt").write_text("# names\nPID-5.1,XX\n\nOBX,$REMOVE\n")
+    report = files.deidentify_files(spark, f"{tmp_path}/b.hl7", f"{tmp_path}/rules.txt", f"{tmp_path}/safe")
+    assert sorted(r.line_number for r in report.collect()) == [2, 4, 5, 6, 7, 8, 12]
+    safe = files.read_messages(spark, f"{tmp_path}/safe/*.txt", split=True).collect()
+    assert len(safe) == 2 and not any("OBX" in r.message or "NAME" in r.message for r in safe)
+    files.write_each(spark.createDataFrame([("a", REPORT), ("b", TREE)], "message_id string, message string"), f"{tmp_path}/each")
+    assert files.read_messages(spark, f"{tmp_path}/each/message_id=b/*.txt").first().message.rstrip("\r") == TREE
+    files.write_observation_text(spark.createDataFrame([("a", REPORT)], "message_id string, message string"), f"{tmp_path}/text")
+    assert [r.value for r in spark.read.text(f"{tmp_path}/text").collect()] == ["Positive", "Weak", "Negative", ""]
     two = spark.createDataFrame([("f", "FHS|1\rMSH|a\rFTS|1\nFHS|2\nMSH|FHS|x")], "message_id string, message string")
     assert [r.message for r in files.split_batches(two).collect()] == ["FHS|1\rMSH|a\rFTS|1\n", "FHS|2\nMSH|FHS|x"]
 

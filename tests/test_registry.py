@@ -60,7 +60,9 @@ def test_command_line(spark, tmp_path):
     m = str(tmp_path / "m.hl7")
     assert run(m, "OBX-2") == (0, "[1] x ~ y\n[2] z\n", False) and run("--first", m, "OBX-2") == (0, "x\n", False)
     assert run(m, "ZZZ-1") == (1, "(no match)\n", False) and run(m, "ZZZ-1", "--first") == (1, "(no match)\n", False)
-    for args in ((m,), (m, "obx"), (str(tmp_path / "none"), "OBX-2"), (str(tmp_path / "bad.hl7"), "obx"), (m, "OBX[@2>'1']")):
+    (tmp_path / "p.json").write_text('{"segmentDefinition": {"MSH": {"children": {"OBX": {}}}}}')
+    assert run(m, "MSH -> OBX-1", f"--profile={tmp_path}/p.json") == (0, "[1] 1\n[2] 2\n", False)
+    for args in ((m, "MSH -> OBX-1"), (m,), (m, "obx"), (str(tmp_path / "none"), "OBX-2"), (str(tmp_path / "bad.hl7"), "obx"), (m, "OBX[@2>'1']")):
         assert run(*args) == (2, "", True), args
 
 
