@@ -41,25 +41,32 @@ def described(docs: DataFrame) -> DataFrame:
     )
 
 
-def targets(cells: DataFrame, dimension: str, temper: float) -> DataFrame:
-    """(dimension value, share wanted) from the share of tokens to the power ``temper``."""
-    own = cells.groupBy(F.col(dimension).alias("value")).agg(F.sum("tokens").alias("t")).where("t > 0").select("value", F.pow(F.col("t"), F.lit(temper)).alias("p"))
-    return own.crossJoin(F.broadcast(own.agg(F.sum("p").alias("whole")))).select("value", (F.col("p") / F.col("whole")).alias("share"))  # one row
+def with_goals(cells: DataFrame, tempers: dict[str, float]) -> DataFrame:
+    """``cells`` with ``goal_<dimension>``: the tokens that the whole margin of the cell's value should have.
+
+    A margin's share is its share of tokens to the power of its temper, made to sum to 1; a value without tokens has goal 0.
+    """
+    for d in DIMENSIONS:
+        own = cells.groupBy(F.col(d).alias("value")).agg(F.sum("tokens").alias("t"))
+        own = own.select("value", "t", F.when(F.col("t") > 0, F.pow(F.col("t"), F.lit(tempers[d]))).otherwise(0.0).alias("p"))
+        whole = own.agg(F.sum("p").alias("whole_p"), F.sum("t").cast("double").alias("whole_t"))  # one row
+        goal = F.when(F.col("whole_p") > 0, F.col("p") / F.col("whole_p") * F.col("whole_t")).otherwise(0.0)
+        goals = own.crossJoin(F.broadcast(whole)).select("value", goal.alias(f"goal_{d}"))
+        cells = cells.join(goals, F.col(d) == F.col("value")).drop("value")
+    return cells
 
 
-def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS) -> DataFrame:
-    """``cells`` (source, lang, topic, tokens) with ``weight``: tokens raked to the wanted shares of the whole.
+def raked(cells: DataFrame, sweeps: int = SWEEPS) -> DataFrame:
+    """``cells`` (source, lang, topic, tokens and goals) with ``weight``: tokens raked to the goals of all margins in turn.
 
-    A cell without tokens keeps weight 0. A value without a wanted share gets weight 0.
+    A cell without tokens keeps weight 0. Margins are partial sums, and of one row for each value.
     """
-    whole = cells.agg(F.sum("tokens").alias("whole"))
     now, kept = cells.withColumn("weight", F.col("tokens").cast("double")), None
     for _ in range(sweeps):
         for d in DIMENSIONS:
-            margin = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("margin"))
-            factor = margin.join(wanted[d].withColumnRenamed("value", "of"), F.col("value") == F.col("of"), "left").crossJoin(F.broadcast(whole))
-            factor = factor.select("value", F.when(F.col("margin") > 0, F.coalesce("share", F.lit(0.0)) * F.col("whole") / F.col("margin")).otherwise(0.0).alias("factor"))
-            now = now.join(factor, F.col(d) == F.col("value")).select(*DIMENSIONS, "tokens", (F.col("weight") * F.col("factor")).alias("weight"))
+            margin = now.groupBy(F.col(d).alias("value")).agg(F.sum("weight").alias("margin"), F.first(f"goal_{d}").alias("goal"))
+            factor = margin.select("value", F.when(F.col("margin") > 0, F.col("goal") / F.col("margin")).otherwise(0.0).alias("factor"))
+            now = now.join(factor, F.col(d) == F.col("value")).withColumn("weight", F.col("weight") * F.col("factor")).drop("value", "factor")
         now = written(now, "weights")
         if kept is not None:
             forget(kept)
@@ -70,8 +77,7 @@ def raked(cells: DataFrame, wanted: dict[str, DataFrame], sweeps: int = SWEEPS)
 def cell_rates(docs: DataFrame, tempers: dict[str, float] = TEMPERS, rate: float = RATE) -> DataFrame:
     """(cell_source, cell_lang, cell_topic, cell_probability, cell_weight) for the cells of ``described`` documents."""
     cells = docs.groupBy(*(F.col(f"mix_{d}").alias(d) for d in DIMENSIONS)).agg(F.sum("mix_tokens").alias("tokens"))
-    cells = written(cells, "cells")
-    now = raked(cells, {d: written(targets(cells, d, tempers[d]), "targets") for d in DIMENSIONS})
+    now = raked(written(with_goals(written(cells, "cells"), tempers), "goals"))
     share = F.when(F.col("tokens") > 0, F.col("weight") * rate / F.col("tokens")).otherwise(0.0)
     rates = now.select(*(F.col(d).alias(f"cell_{d}") for d in DIMENSIONS), share.alias("share"))
     probability = F.round(F.least("share", F.lit(1.0)), 6)

@@ -32,6 +32,7 @@ LEAST_REVISIT = 100
 ARCHIVE_BYTES = 32 << 20
 ARCHIVE_RECORDS = 20_000
 READ_BYTES = 1 << 18
+MOST_TASKS = 20_000
 LEVEL = 5
 DATE = "2020-01-01T00:00:00Z"
 
@@ -238,7 +239,8 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
     repeats = revisits(manifest).groupBy("archive").agg(F.collect_list(F.struct("number", "refers_to")).alias("repeats"))
     names = manifest.select(F.col("archive").alias("name")).distinct()
     archives = names.join(repeats, F.col("name") == F.col("archive"), "left").select(F.col("name").alias("archive"), "repeats")
-    index = normalise(archives.repartition(max(1, names.count())), raw, folder)  # about one archive a task
+    tasks = min(max(1, names.count()), MOST_TASKS)  # one archive a task, or several in turn
+    index = normalise(archives.repartition(tasks), raw, folder)
     delete_path(spark, raw)
     return index
 
