@@ -233,10 +233,10 @@ def segment_spans(spark, sf_dir):
     return rows.select("message_id", (F.col("end") - F.col("start")).alias("n_bytes"))
 
 
-@_query("SELECT o_orderkey % 10 AS file, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM m WHERE o_orderkey < 200 GROUP BY 1")
+@_query("SELECT CAST(floor(o_orderkey / 50) AS BIGINT) AS file, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM m GROUP BY 1")
 def batch_messages(spark, sf_dir):
-    """Batch files made of messages, and taken apart again."""
-    rows = synth.messages(spark, sf_dir).where("message_id < 200").groupBy((F.col("message_id") % 10).alias("file"))
+    """Batch files of at most 50 messages each, made and taken apart again."""
+    rows = synth.messages(spark, sf_dir).groupBy(F.floor(F.col("message_id") / 50).alias("file"))
     text = F.concat(F.lit("FHS|^~\\&\rBHS|^~\\&\r"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("message_id", "message"))), lambda x: x["message"]), "\r"), F.lit("\rBTS|9\rFTS|1\r"))
     rows = files.debatch(rows.agg(text.alias("message")).withColumn("message_id", F.col("file").cast("string")))
     ids = frames.get_first_value(rows, "MSH-10").groupBy("file").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.col("value").cast("long"))).alias("ids"))
