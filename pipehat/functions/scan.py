@@ -48,8 +48,8 @@ def signs(d: Column) -> Column:
 
 def segments(message: Column) -> Column:
     """The segments as an array of text. One terminator at the end of the message opens no segment."""
-    lines = F.split(message, TERMINATOR, -1)
-    return F.when(F.get(lines, F.size(lines) - 1) == "", F.slice(lines, F.lit(1), F.size(lines) - 1)).otherwise(lines)
+    cut = F.when(F.endswith(message, F.lit("\r\n")), 2).when(F.endswith(message, F.lit("\r")) | F.endswith(message, F.lit("\n")), 1).otherwise(0)
+    return F.split(F.left(message, F.length(message) - cut), TERMINATOR, -1)
 
 
 def terminators(message: Column) -> Column:
@@ -73,7 +73,7 @@ def _error(kind: str, at: Column, index: Column | None = None) -> Column:
 
 def scan_error(message: Column, lines: Column, strict_msh2: bool = False) -> Column:
     """The first structural error of a message as SCAN_ERROR, or null. A null message has no error."""
-    header = F.get(F.split(message, TERMINATOR, 2), F.lit(0))
+    header = F.get(lines, F.lit(0))
     short = F.octet_length(header) < 8
     if strict_msh2:
         short = short | (F.length(F.split_part(header, F.substring(message, 4, 1), F.lit(2))) != 4)
