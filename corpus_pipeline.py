@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pipehat.llm import decontaminate, mixing, pii, quality, simhash
+from pipehat.llm import decontaminate, jaccard, mixing, pii, quality
 from pipehat.llm.common import written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -23,7 +23,7 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near duplicates, the document with the smallest id; rows without an id stay."""
-    found = written(simhash.near_duplicates(docs), "groups")
+    found = written(jaccard.near_duplicates(docs), "groups")
     gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
     kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
     again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id"))

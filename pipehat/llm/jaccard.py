@@ -1,0 +1,153 @@
+"""Near duplicates by word shingles: texts whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
+
+Texts with equal words are one node. MinHash bands propose pairs of nodes (32 bands of 4 minima: a pair at
+exactly 0.8 meets in none of them with a chance of 5e-8, a closer one with less), and every proposed pair is
+decided by its exact similarity. SimHash can't propose them: at similarity 0.8 the 64-bit fingerprints differ
+in up to 17 bits on the smallest table, which no table of buckets covers.
+
+Large groups don't make all pairs. First each node of a bucket is held against the smallest node there; then
+only nodes that are not yet connected with that one are held against the others, save those they are connected with.
+"""
+
+from __future__ import annotations
+
+import hashlib
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .common import byte_slices, texts, written
+from .components import components
+
+SHINGLE_WORDS = 5
+#: The least similarity, as a fraction of whole numbers, so that no rounding decides a pair.
+LEAST = (4, 5)
+BANDS = 32
+ROWS = 4
+BLOCK_BYTES = 8 << 20
+_RNG = np.random.default_rng(20)
+_FACTORS = _RNG.integers(0, 1 << 31, (BANDS * ROWS, 1)).astype(np.uint32) * np.uint32(2) + np.uint32(1)
+_TERMS = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1)).astype(np.uint32)
+
+
+def shingles(words: list[bytes], size: int = SHINGLE_WORDS) -> np.ndarray:
+    """Sorted distinct XXH64 hashes of the word shingles; a text with fewer words than a shingle is one shingle."""
+    if not words:
+        return np.empty(0, np.uint64)
+    runs = zip(*(words[i:] for i in range(min(size, len(words)))), strict=False)
+    return np.unique(np.array([xxhash.xxh64_intdigest(b" ".join(x), 42) for x in runs], np.uint64))
+
+
+def word_key(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def bands(hashes: np.ndarray) -> list[int]:
+    """A signed 64-bit value for each band; none for an empty set."""
+    if not len(hashes):
+        return []
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    small = (hashes >> np.uint64(32)).astype(np.uint32)
+    for k in range(0, len(small), 1024):
+        np.minimum(least, (small[k : k + 1024] * _FACTORS + _TERMS).min(axis=1), out=least)
+    cells = least.reshape(BANDS, ROWS)
+    return [xxhash.xxh64_intdigest(cells[i].tobytes(), i) - (1 << 63) for i in range(BANDS)]
+
+
+def close(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sorted sets have a similarity of LEAST or more."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both * LEAST[1] >= (len(a) + len(b) - both) * LEAST[0]
+
+
+def _words(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in byte_slices(batch, "text", BLOCK_BYTES):
+            keys, sizes, found = [], [], []
+            for text in texts(part.column(1)):
+                words = _words(text)
+                hashes = shingles(words)
+                keys.append(word_key(words))
+                sizes.append(len(hashes))
+                found.append(bands(hashes))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
+
+
+def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield pa.RecordBatch.from_arrays([pa.array([word_key(_words(x)) for x in texts(batch.column(0))], pa.binary()), pc.cast(batch.column(0), pa.string())], ["text_key", "text"])
+
+
+def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in byte_slices(batch, "text", BLOCK_BYTES):
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shingles(_words(x)).tobytes() for x in texts(part.column(1))], pa.binary())], ["node", "hashes"])
+
+
+def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        a, b = (batch.column(i).to_pylist() for i in (2, 3))
+        keep = [close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """Of ``pairs`` (a, b: nodes), those that are similar enough."""
+    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    needed = written(distinct.join(needed, "node", "left_semi").select("node", "key"), "needed")
+    texts_of = docs.select("text").where("text is not null").mapInArrow(_keyed, "text_key binary, text string")
+    texts_of = texts_of.join(needed, F.col("text_key") == F.col("key")).groupBy("node").agg(F.min("text").alias("text"))
+    sets = written(texts_of.mapInArrow(_sets, "node long, hashes binary"), "sets")
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
+    return written(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
+
+
+def _sizes_fit(x: str, y: str):
+    """Sets of very different sizes can't be similar enough."""
+    return F.least(x, y) * LEAST[1] >= F.greatest(x, y) * LEAST[0]
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, component_id) for every row of ``docs`` (doc_id, text); ``key`` is a digest of the text's words.
+
+    Texts that are similar enough are linked; ``component_id`` is the smallest doc_id reachable over links, null if
+    no id is. A-Z count as a-z and white space separates words. Null and empty texts have no words and are one
+    group. Repeated rows keep one result row each. An empty table gives an empty result.
+    """
+    rows = docs.select(F.col("doc_id").cast("long"), "text")
+    sketches = written(rows.mapInArrow(_sketched, "doc_id long, key binary, n long, bands array<long>"), "sketches")
+    distinct = sketches.groupBy("key").agg(F.min("doc_id").alias("first_id"), F.first("n").alias("n"), F.first("bands").alias("bands"))
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("node"), "*"), "distinct")
+    spread = distinct.select(F.explode("bands").alias("bucket"), "node", "n")
+    heads = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n")).alias("head")).where("size > 1")
+    heads = heads.select("bucket", F.col("head.node").alias("head"), F.col("head.n").alias("head_n"))
+    members = written(spread.join(heads, "bucket"), "members")
+    tried = written(members.where("node <> head").where(_sizes_fit("n", "head_n")).select(F.col("head").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    links = _verified(tried, docs, distinct)
+    found = written(components(links), "components")
+
+    root = lambda of: found.select(F.col("node").alias(of), F.col("root").alias(f"{of}_root"))
+    placed = members.join(root("node"), "node", "left").join(root("head"), "head", "left")
+    placed = placed.select("bucket", "node", "n", F.coalesce("node_root", "node").alias("root"), F.coalesce("head_root", "head").alias("head_root"))
+    others = written(placed.where("root <> head_root").select("bucket", F.col("node").alias("o"), F.col("n").alias("o_n"), F.col("root").alias("o_root")), "others")
+    beside = placed.join(others.select("bucket").distinct(), "bucket", "left_semi")
+    more = beside.join(others, "bucket").where("root <> o_root").where("root = head_root or node < o").where(_sizes_fit("n", "o_n"))
+    more = more.select(F.least("node", "o").alias("a"), F.greatest("node", "o").alias("b")).distinct()
+    more = written(more.join(tried, ["a", "b"], "left_anti"), "pairs")
+    if not more.isEmpty():
+        found = written(components(links.union(_verified(more, docs, distinct))), "components")
+
+    named = distinct.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    named = named.select("key", "first_id", F.coalesce("root", "node").alias("root"))
+    least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    named = named.join(least, "root").select(F.col("key").alias("own_key"), "component_id")
+    return sketches.join(named, F.col("key") == F.col("own_key")).select("doc_id", "key", "component_id")

@@ -1,0 +1,60 @@
+import numpy as np
+
+import corpus_pipeline as cp
+from pipehat.llm import jaccard
+
+SF = "/root/testdata/sf0.01"
+
+
+def plain_shingles(text: str | None) -> frozenset:
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else frozenset()
+
+
+def plain_components(texts: dict[int, str | None]) -> dict[int, int]:
+    sets = {i: plain_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def top(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(texts)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both) and top(i) != top(j):
+                root[max(top(i), top(j))] = min(top(i), top(j))
+    return {i: top(i) for i in ids}
+
+
+def groups(df):
+    return {r.doc_id: r.component_id for r in jaccard.near_duplicates(df).collect()}
+
+
+def test_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    want = plain_components({r.doc_id: r.text for r in docs.select("doc_id", "text").collect()})
+    assert groups(docs) == want
+    kept = cp.one_of_each(spark, docs, SF)
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(set(want.values()))
+
+
+def test_edited_texts_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    texts, i = {}, 0
+    for _ in range(8):
+        base = [f"w{x}" for x in rng.integers(0, 400, 120)]
+        for k in range(30):  # a chain, and edits from few to too many
+            words = list(base)
+            for p in rng.choice(120, k % 6, replace=False):
+                words[p] = f"new{p}"
+            texts[i] = " ".join(words) + (" tail words" * (k % 3))
+            i += 1
+        texts[i] = " ".join(base).upper() + "\n"
+        i += 1
+    texts |= {900: "", 901: None, 902: " \n", 903: "one", 904: "ONE", 905: "one two", 906: "x " * 20_000}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert groups(df) == plain_components(texts)
+    assert jaccard.near_duplicates(df.limit(0)).collect() == []
