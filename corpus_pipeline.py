@@ -22,15 +22,26 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates, the document with the smallest id; rows without an id stay."""
-    found = written(jaccard.near_duplicates(docs), "groups")
-    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    kept = docs.select(*COLUMNS).join(gone, F.col("doc_id") == F.col("gone_id"), "left_anti")
-    again = found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("again_id"))
-    if again.isEmpty():
-        return kept
-    repeated = F.col("doc_id") == F.col("again_id")  # of repeated rows of one id, one stays
-    return kept.join(again, repeated, "left_anti").union(kept.join(again, repeated, "left_semi").dropDuplicates(["doc_id"]))
+    """Of each group of near duplicates, the row with the smallest id, and of its texts the one with the smallest digest.
+
+    Rows are told apart by id and text, so other texts of an id stay. Rows without an id come last in their group;
+    rows without an id and a text stay.
+    """
+    docs = docs.select(*COLUMNS)
+    nothing = F.col("doc_id").isNull() & F.col("text").isNull()
+    found = written(jaccard.near_duplicates(docs.where(~nothing)), "groups")
+    best = found.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id"), "doc_id", "key")).alias("best"))
+    stays = F.col("best.doc_id").eqNullSafe(F.col("doc_id")) & (F.col("best.key") == F.col("key"))
+    marked = found.join(best, "root").groupBy("doc_id", "key").agg(F.first(stays).alias("stays"), F.count("*").alias("n"))
+    odd = written(marked.where("not stays or n > 1").select(F.col("doc_id").alias("odd_id"), F.col("key").alias("odd_key"), "stays"), "odd")
+    same = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("key") == F.col("odd_key"))
+    rows = jaccard.keyed(docs.where(~nothing))
+    kept = rows.join(odd, same, "left_anti").select(*COLUMNS)
+    again = odd.where("stays")
+    if not again.isEmpty():  # of repeated rows, one stays
+        least = rows.join(again, same, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
+        kept = kept.union(least.select("doc_id", "row.*").select(*COLUMNS))
+    return kept.union(docs.where(nothing))
 
 
 def no_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

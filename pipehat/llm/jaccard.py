@@ -16,7 +16,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,9 +81,16 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "key", "n", "bands"])
 
 
-def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield pa.RecordBatch.from_arrays([pa.array([word_key(_words(x)) for x in texts(batch.column(0))], pa.binary()), pc.cast(batch.column(0), pa.string())], ["text_key", "text"])
+def keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with the digest of its text's words as ``key``."""
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([word_key(_words(x)) for x in texts(batch.column(at))], pa.binary())], [*batch.schema.names, "key"])
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in docs.schema)
+    return docs.mapInArrow(run, f"{fields}, key binary")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +110,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFra
     """Of ``pairs`` (a, b: nodes), those that are similar enough."""
     needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
     needed = written(distinct.join(needed, "node", "left_semi").select("node", "key"), "needed")
-    texts_of = docs.select("text").where("text is not null").mapInArrow(_keyed, "text_key binary, text string")
-    texts_of = texts_of.join(needed, F.col("text_key") == F.col("key")).groupBy("node").agg(F.min("text").alias("text"))
+    texts_of = keyed(docs.select("text").where("text is not null")).join(needed, "key").groupBy("node").agg(F.min("text").alias("text"))
     sets = written(texts_of.mapInArrow(_sets, "node long, hashes binary"), "sets")
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
     return written(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
@@ -117,10 +122,10 @@ def _sizes_fit(x: str, y: str):
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, component_id) for every row of ``docs`` (doc_id, text); ``key`` is a digest of the text's words.
+    """(doc_id, key, component_id, root) for every row of ``docs`` (doc_id, text); ``key`` is a digest of the text's words.
 
     Texts that are similar enough are linked; ``component_id`` is the smallest doc_id reachable over links, null if
-    no id is. A-Z count as a-z and white space separates words. Null and empty texts have no words and are one
+    no id is; ``root`` names the component even then. A-Z count as a-z and white space separates words. Null and empty texts have no words and are one
     group. Repeated rows keep one result row each. An empty table gives an empty result.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
@@ -149,5 +154,5 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     named = distinct.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     named = named.select("key", "first_id", F.coalesce("root", "node").alias("root"))
     least = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    named = named.join(least, "root").select(F.col("key").alias("own_key"), "component_id")
-    return sketches.join(named, F.col("key") == F.col("own_key")).select("doc_id", "key", "component_id")
+    named = named.join(least, "root").select(F.col("key").alias("own_key"), "component_id", "root")
+    return sketches.join(named, F.col("key") == F.col("own_key")).select("doc_id", "key", "component_id", "root")

@@ -58,3 +58,17 @@ def test_edited_texts_against_brute_force(spark):
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert groups(df) == plain_components(texts)
     assert jaccard.near_duplicates(df.limit(0)).collect() == []
+
+
+def test_rows_that_share_an_id_or_have_none(spark):
+    long = " ".join(f"w{i}" for i in range(60))
+    rows = [
+        (1, long), (2, long), (2, "another text of the second id"), (3, "its first text here"), (3, "its second text here"),
+        (3, "its first text here"), (None, long), (None, "no id but a copy"), (None, "no id but a copy"), (None, "alone without id"), (None, None),
+        (5, "near " + long), (5, "far from all the others"), (None, "NO id but\ta copy"),
+    ]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [(r.doc_id, (r.text or "none").lower().split()) for r in cp.one_of_each(spark, docs, SF).collect()]
+    want = [(1, long), (2, "another text of the second id"), (3, "its first text here"), (3, "its second text here"), (5, "far from all the others")]
+    want += [(None, "no id but a copy"), (None, "alone without id"), (None, "none")]
+    assert sorted(kept, key=str) == sorted(((i, t.split()) for i, t in want), key=str)
