@@ -4,14 +4,15 @@ The base kinds (email, ip, card, phone) follow fixed patterns and checks and alw
 others, high-recall generators propose overlapping candidates; gradient-boosted trees score them by
 format and context; a candidate is taken if its calibrated probability reaches a threshold that was
 set for precision on held-out candidates, best first, without overlaps among the added spans and
-never over a base span. The trees learn from generated, labelled text (``TRAINING_TEXTS`` texts
-from a fixed seed), so that no personal data is needed to train them.
+never over a base span. The trees learn from generated, labelled text (twice ``TRAINING_TEXTS``
+texts from fixed seeds), so that no personal data is needed to train them.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -86,8 +87,11 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+# A full stop before a space or a capital ends a sentence; a host name goes on.
+_SENTENCE = re.compile(r"\.(?: |[A-Z])")
+_AT = r"(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}"
 GENERATORS = {
-    "masked_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}"),
+    "masked_email": re.compile(r"[A-Za-z0-9._%+-]{1,64} ?" + _AT),
     "local_phone": re.compile(r"(?<![0-9+])\(?[0-9](?:[ ().-]{0,2}[0-9]){6,14}"),
     "ssn": re.compile(r"[0-9]{3}[- ][0-9]{2}[- ][0-9]{4}"),
     "iban": re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?"),
@@ -95,7 +99,8 @@ GENERATORS = {
     "mac": re.compile(r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"),
     "name": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][^\W\d_]{1,30}(?: [A-Z][^\W\d_]{1,30})?"),
 }
-NEEDS = {"masked_email": re.compile(r"\[at\]|\(at\)| at [^\n]{1,70} dot ", re.A), "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b", re.A)}
+# What a generator accepts always holds what its kind needs, so that a span does not depend on other spans of its text.
+NEEDS = {"masked_email": re.compile(_AT), "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b", re.A)}
 KEYWORDS = {
     "masked_email": ("mail", "contact", "write", "reach"),
     "local_phone": ("phone", "tel", "call", "fax", "mobile", "cell"),
@@ -114,6 +119,10 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     for kind, pattern in GENERATORS.items():
         if NEEDS[kind].search(text) if kind in NEEDS else digit:
             out += [(kind, *m.span()) for m in pattern.finditer(text)]
+    for kind, start, end in [c for c in out if c[0] == "masked_email"]:  # also up to the end of the sentence
+        stop = _SENTENCE.search(text, start, end)
+        if stop and GENERATORS[kind].fullmatch(text, start, stop.start()):
+            out.append((kind, start, stop.start()))
     return out
 
 
@@ -142,6 +151,7 @@ def features(text: str, span: tuple[str, int, int], base: list[tuple[str, int, i
         sum(c.isalpha() for c in s),
         sum(c.isupper() for c in s) / len(s),
         float("[" in s or "(at" in s),
+        float(kind == "masked_email" and _SENTENCE.search(s) is not None),
         float(kind == "iban" and _iban_ok(s)),
         float(kind == "birthdate" and _date_ok(s)),
         float(kind == "ssn" and s[:3] not in ("000", "666") and s[0] != "9" and s[4:6] != "00" and s[7:] != "0000"),
@@ -222,11 +232,30 @@ def labelled_texts(n: int = TRAINING_TEXTS, seed: int = 11) -> Iterator[tuple[st
         yield text, spans
 
 
+def labelled_hosts(n: int = TRAINING_TEXTS, seed: int = 12) -> Iterator[tuple[str, list[tuple[str, int, int]]]]:
+    """Generated texts like ``labelled_texts`` gives, of addresses with a plain host (``name at host.tld``) and of sentences that end after ``at``."""
+    rng = np.random.default_rng(seed)
+    pick = lambda xs: xs[rng.integers(len(xs))]
+    syllables = ("an", "the", "re", "on", "st", "er", "ou", "ti", "la", "des", "en", "mi", "sch", "ung")
+    word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
+    words = lambda k: " ".join(word() for _ in range(k))
+    for _ in range(n):
+        text, spans = words(rng.integers(0, 8)), []
+        text += f" {pick(KEYWORDS['masked_email'])}{pick((': ', ' ', ' is '))}" if rng.random() < 0.5 else " "
+        if rng.random() < 0.5:
+            s = f"{pick((word(), f'{word()}.{word()}', f'{word()}{rng.integers(100)}'))} at {pick(('', 'mail.'))}{word()}x.{pick(('com', 'org', 'net', 'de', 'io', 'info'))}"
+            spans.append(("masked_email", len(text), len(text) + len(s)))
+            text += s
+        else:
+            text += f"{pick((word(), word().capitalize()))} at {word()}{pick(('. ', '. ', '.'))}{word().capitalize()}"
+        yield text + f"{pick(('', ',', '!'))} {words(rng.integers(1, 8))}", spans
+
+
 @functools.cache
 def model() -> tuple[boosting.Boosted, dict[str, float]]:
     """The trees and each kind's threshold, from generated texts: two thirds to learn from, the rest to calibrate."""
     rows, labels, held, kinds = [], [], [], []
-    for i, (text, spans) in enumerate(labelled_texts()):
+    for i, (text, spans) in enumerate(itertools.chain(labelled_texts(), labelled_hosts())):
         base = base_spans(text)
         for c in candidates(text):
             rows.append(features(text, c, base))
@@ -254,8 +283,8 @@ def found_spans(rows: list[str], trees: boosting.Boosted, least: dict[str, float
     return [(b, in_order(e)) for b, e in zip(base, every, strict=True)]
 
 
-_TRIGGER = re.compile(rb"[0-9@]")
-_TITLES = (b"Mr", b"Ms", b"Dr", b"Prof", b"Herr", b"Frau", b"Mme", b"Sr", b"(at)", b"[at]", b" dot ")
+_TRIGGER = re.compile(rb"[0-9@]|(?<![0-9A-Za-z_])at(?![0-9A-Za-z_])")
+_TITLES = (b"Mr", b"Ms", b"Dr", b"Prof", b"Herr", b"Frau", b"Mme", b"Sr")
 
 
 def _may_hold(text: bytes) -> bool:

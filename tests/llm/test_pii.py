@@ -70,3 +70,17 @@ def test_query(spark, tmp_path):
         want = plain(SAMPLES[r.doc_id])
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for x, _, _ in want) for k in PATTERNS]
         assert r.base_sha256 == hashlib.sha256(pii.joined(want).encode()).hexdigest()
+
+
+def test_plain_hosts_whatever_else_the_text_holds():
+    trees, least = pii.model()
+    for text, want in [("jane.doe at example.com", "jane.doe at example.com"), ("write jane.doe at example.com today", "jane.doe at example.com"), ("contact bob at mail.org. Thanks", "bob at mail.org")]:
+        for more in ("", " or a.b [at] c-d [dot] org"):
+            at = text.index(want)
+            assert ("masked_email", at, at + len(want)) in pii._spans([(text + more).encode()], trees, least)[0][1], text + more
+    for text in ("we met me at home. Then we left", "Look at this. It is good.", "She stayed at work.Then"):
+        assert pii._spans([text.encode()], trees, least)[0][1] == [], text
+    held = list(pii.labelled_hosts(400, seed=98))
+    found = pii.found_spans([t for t, _ in held], trees, least)
+    taken, real = {(i, s) for i, (_, e) in enumerate(found) for s in e}, {(i, s) for i, (_, x) in enumerate(held) for s in x}
+    assert len(taken & real) > 0.95 * max(len(taken), len(real))
