@@ -8,9 +8,10 @@ logistic output. Chunk pools are merged as they come, so a document of any lengt
 of one block of chunks.
 
 The filters learn by back-propagation from a bounded sample of labelled documents
-(``SAMPLE_PER_CLASS`` of each class by hash order, ``SAMPLE_CHUNKS`` evenly spaced chunks of each);
-the share of each class among all labelled documents then sets the output's offset, so that scores
-are probabilities over the corpus.
+(``SAMPLE_PER_CLASS`` of each class by hash order), each with all of its chunks, as they are scored; the
+share of each class among all labelled documents then sets the output's offset, so that scores
+are probabilities over the corpus. The two repeat channels are not learned: a filter of 12 bytes can't see that
+bytes return after up to ``LAGS`` places, which is what tells text that repeats itself from text that doesn't; the weights on them are learned.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .boosting import sigmoid
@@ -35,7 +36,6 @@ PAD = 256
 THRESHOLD = 0.3
 FOLDS = 5
 SAMPLE_PER_CLASS = 700
-SAMPLE_CHUNKS = 6
 EPOCHS, BATCH, RATE, DECAY = 14, 32, 0.01, 1e-4
 BLOCK = 512
 
@@ -117,13 +117,17 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
+    """The loss's gradients over ``docs``, the chunks of each; memory is that of BLOCK chunks' windows, however long a document is."""
     sizes = np.array([len(d) for d in docs])
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     chunks = np.concatenate(docs)
-    x = windows(net, chunks)
-    z = x @ net.filters
-    top = z.argmax(1)
-    h = np.maximum(np.take_along_axis(z, top[:, None], 1)[:, 0] + net.bias, 0)
+    tops, parts = [], []
+    for k in range(0, len(chunks), BLOCK):
+        z = windows(net, chunks[k : k + BLOCK]) @ net.filters
+        top = z.argmax(1)
+        tops.append(top)
+        parts.append(np.maximum(np.take_along_axis(z, top[:, None], 1)[:, 0] + net.bias, 0))
+    h = np.concatenate(parts)
     mean, most = np.add.reduceat(h, heads) / sizes[:, None], np.maximum.reduceat(h, heads)
     pool = np.concatenate([mean, most], 1)
     error = (sigmoid(pool @ net.out + net.offset[0]) - labels) / len(docs)
@@ -131,18 +135,27 @@ def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list
     doc = np.repeat(np.arange(len(docs)), sizes)
     dh = back[doc, :FILTERS] / sizes[doc, None] + back[doc, FILTERS:] * (h == most[doc])
     dh *= h > 0
-    rows = np.arange(len(chunks))[:, None]
-    picked = x[rows, top]  # (chunks, FILTERS, WIDTH * channels)
-    dfilters = np.einsum("cf,cfk->kf", dh, picked)
-    dx = (dh[:, :, None] * net.filters.T).reshape(len(chunks), FILTERS, WIDTH, EMBED + 2)[..., :EMBED]
-    bytes_at = chunks[rows[:, :, None], top[:, :, None] * STRIDE + np.arange(WIDTH)]
-    dembed = np.stack([np.bincount(bytes_at.ravel(), dx[..., e].ravel(), 257) for e in range(EMBED)], 1)
+    dfilters, dembed = np.zeros(net.filters.shape), np.zeros(net.embed.shape)
+    for k, top in zip(range(0, len(chunks), BLOCK), tops, strict=True):
+        own, part = dh[k : k + BLOCK], chunks[k : k + BLOCK]
+        rows = np.arange(len(part))[:, None]
+        picked = windows(net, part)[rows, top]  # (chunks, FILTERS, WIDTH * channels)
+        dfilters += np.einsum("cf,cfk->kf", own, picked)
+        dx = (own[:, :, None] * net.filters.T).reshape(len(part), FILTERS, WIDTH, EMBED + 2)[..., :EMBED]
+        bytes_at = part[rows[:, :, None], top[:, :, None] * STRIDE + np.arange(WIDTH)].ravel()
+        dembed += np.stack([np.bincount(bytes_at, dx[..., e].ravel(), 257) for e in range(EMBED)], 1)
     dembed[PAD] = 0
     return [dembed, dfilters, dh.sum(0), pool.T @ error, np.array([error.sum()])]
 
 
-def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
-    """A network from the chunks of each document and its label, by Adam on balanced batches."""
+def chunks_of(text: bytes) -> np.ndarray:
+    """All chunks of a text."""
+    starts = chunk_starts(len(text))
+    return cut(np.frombuffer(text, np.uint8), starts, np.minimum(starts + CHUNK, len(text)))
+
+
+def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
+    """A network from whole texts and their labels, by Adam on balanced batches."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape, scale: rng.normal(0, scale, shape).astype(np.float32)
     net = Network(draw(257, EMBED, scale=0.3), draw(WIDTH * (EMBED + 2), FILTERS, scale=0.1), np.zeros(FILTERS, np.float32), draw(2 * FILTERS, scale=0.3), np.zeros(1, np.float32))
@@ -152,10 +165,10 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     sides = [s for s in sides if len(s)]
     step = 0
     for _ in range(EPOCHS):
-        for _ in range(max(8, len(docs) // BATCH)):
+        for _ in range(max(8, len(texts) // BATCH)):
             step += 1
             pick = np.concatenate([rng.choice(s, BATCH // len(sides)) for s in sides])
-            for p, g, m, v in zip(net.parameters(), _gradients(net, [docs[i] for i in pick], labels[pick]), one, two, strict=True):
+            for p, g, m, v in zip(net.parameters(), _gradients(net, [chunks_of(texts[i]) for i in pick], labels[pick]), one, two, strict=True):
                 g = g + DECAY * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)
@@ -164,36 +177,27 @@ def train(docs: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Network:
     return net
 
 
-def _sample_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in byte_slices(batch, "text", 4 << 20):
-            data, offsets = text_bytes(part.column(1))
-            cells = []
-            for a, b in zip(offsets[:-1], offsets[1:], strict=True):
-                starts = chunk_starts(b - a)
-                starts = a + starts[np.unique(np.linspace(0, len(starts) - 1, SAMPLE_CHUNKS).astype(int))]
-                cells.append(cut(data, starts, np.minimum(starts + CHUNK, b)).tobytes())
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["label", "chunks"])
-
-
 def fitted(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Network:
     """A network from ``docs`` (doc_id, text) and ``labels`` (doc_id, label 0 or 1).
 
-    Rows of either table with a null id or label teach nothing; of repeated ids, every row counts.
+    At most ``per_class`` documents of each class are learned from, each whole: the driver holds their texts, and the
+    chunks of one batch. Rows of either table with a null id or label teach nothing, a null text is empty. Of the rows of a repeated id, those
+    after the sample is full are left out; which rows are in it hangs on hashes of id and text alone, ties are equal rows.
     Without any label all scores are 0.5 before training's random start; with one class only, its
-    documents alone are learned.
+    documents alone are learned. Very long texts cost as many chunks as they have. Other columns are not read.
     """
     known = labels.where("doc_id is not null and label in (0, 1)").select(F.col("doc_id").cast("long").alias("id"), F.col("label").cast("int").alias("label"))
     counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     picked = [known.where(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
     ids = picked[0].union(picked[1])  # 2 * per_class rows: a fixed bound
-    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("label", "text", "doc_id")
-    held = rows.select("label", "text").mapInArrow(_sample_chunks, "label int, chunks binary").toArrow()
-    held = sorted(zip(held["label"].to_pylist(), held["chunks"].to_pylist(), strict=True))
+    rows = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("id")).select("label", F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"), "id")
+    place = Window.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"), "text")  # an id may have several rows: the bound is on rows
+    held = [(r["label"], bytes(r["text"])) for r in rows.withColumn("k", F.row_number().over(place)).where(F.col("k") <= per_class).select("label", "text").collect()]
+    held.sort()
     if not held:
-        return train([np.full((1, CHUNK), PAD, np.uint16)], np.array([1.0]))
+        return train([b""], np.array([1.0]))
     y = np.array([float(k) for k, _ in held])
-    net = train([np.frombuffer(c, np.uint16).reshape(-1, CHUNK) for _, c in held], y)
+    net = train([t for _, t in held], y)
     if len(counts) == 2:
         net.offset += np.float32(np.log(counts[1] / counts[0]))  # batches were balanced
     return net
@@ -233,5 +237,6 @@ def quality_network(spark: SparkSession, sf_dir: str) -> Network:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The score of every row of ``documents``; see ``scored`` and ``fitted`` for nulls, empty and very long texts, ties and repeats. A null id is not held out."""
     found = scored(documents(spark, sf_dir, "doc_id", "text"), quality_network(spark, sf_dir))
     return found.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
