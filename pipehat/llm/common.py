@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 
 import numpy as np
@@ -38,36 +39,73 @@ def _remove_tree(path: str) -> None:
     shutil.rmtree(path, ignore_errors=True)
 
 
+_RUN = uuid.uuid4().hex
+_run_dirs: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/pipehat/{name}-{uuid.uuid4().hex}"
+    """A new path in this process's own folder of the shared one; the folder is deleted when the process ends."""
+    run = f"{shared_dir(spark)}/pipehat/{_RUN}"
+    if run not in _run_dirs:
+        _run_dirs.add(run)
+        atexit.register(_delete_run, spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration(), run)
+    return f"{run}/{name}-{uuid.uuid4().hex}"
+
+
+def _delete_run(jvm, conf, run: str) -> None:
+    try:
+        where = jvm.org.apache.hadoop.fs.Path(run)
+        where.getFileSystem(conf).delete(where, True)
+    except Exception:  # the gateway may have ended before: the folder stays, as after a crash
+        pass
 
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_lock = threading.Lock()
+_writers: dict[str, list] = {}
+
+
+def _begin(spark: SparkSession) -> None:
+    with _lock:
+        own = _writers.setdefault(str(spark._jsparkSession.sessionUUID()), [0, None])
+        if not own[0]:
+            own[1] = spark.conf.get(CLEANUP, None)
+            spark.conf.set(CLEANUP, "true")
+        own[0] += 1
+
+
+def _end(spark: SparkSession) -> None:
+    with _lock:
+        own = _writers[str(spark._jsparkSession.sessionUUID())]
+        own[0] -= 1
+        if not own[0]:
+            spark.conf.unset(CLEANUP) if own[1] is None else spark.conf.set(CLEANUP, own[1])
 
 
 def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """``df`` written as a Parquet table in the shared folder and read back: its lineage is cut.
 
-    The shuffle files of the write are deleted once it is done, as nothing reads them again.
+    The shuffle files of the write are deleted once it is done, as nothing reads them again. Threads of one session may
+    write at once: the setting is put back when the last of them is done.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    _begin(spark)
     try:
         df.write.option("compression", compression).parquet(path)
     finally:
-        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+        _end(spark)
     out = spark.read.schema(df.schema).parquet(path)
     out._pipehat_path = path
     return out
 
 
-def forget(df: DataFrame) -> None:
-    """Delete a table made by ``written`` that nothing will read again."""
-    path = getattr(df, "_pipehat_path", None)
-    if path:
-        delete_path(df.sparkSession, path)
+def forget(*tables: DataFrame) -> None:
+    """Delete tables made by ``written`` that nothing will read again."""
+    for df in tables:
+        path = getattr(df, "_pipehat_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
 
 
 def delete_path(spark: SparkSession, path: str) -> None:

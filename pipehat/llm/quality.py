@@ -116,8 +116,8 @@ def scores(net: Network, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.round(sigmoid(margin), 6)
 
 
-def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list[np.ndarray]:
-    """The loss's gradients over ``docs``, the chunks of each; memory is that of BLOCK chunks' windows, however long a document is."""
+def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray, times: np.ndarray) -> list[np.ndarray]:
+    """The loss's gradients over ``docs``, the chunks of each, every document counted as often as ``times`` says; memory is that of BLOCK chunks' windows, however long a document is."""
     sizes = np.array([len(d) for d in docs])
     heads = np.concatenate([[0], np.cumsum(sizes)[:-1]])
     chunks = np.concatenate(docs)
@@ -130,7 +130,7 @@ def _gradients(net: Network, docs: list[np.ndarray], labels: np.ndarray) -> list
     h = np.concatenate(parts)
     mean, most = np.add.reduceat(h, heads) / sizes[:, None], np.maximum.reduceat(h, heads)
     pool = np.concatenate([mean, most], 1)
-    error = (sigmoid(pool @ net.out + net.offset[0]) - labels) / len(docs)
+    error = (sigmoid(pool @ net.out + net.offset[0]) - labels) * times / times.sum()
     back = error[:, None] * net.out
     doc = np.repeat(np.arange(len(docs)), sizes)
     dh = back[doc, :FILTERS] / sizes[doc, None] + back[doc, FILTERS:] * (h == most[doc])
@@ -168,7 +168,8 @@ def train(texts: list[bytes], labels: np.ndarray, seed: int = 7) -> Network:
         for _ in range(max(8, len(texts) // BATCH)):
             step += 1
             pick = np.concatenate([rng.choice(s, BATCH // len(sides)) for s in sides])
-            for p, g, m, v in zip(net.parameters(), _gradients(net, [chunks_of(texts[i]) for i in pick], labels[pick]), one, two, strict=True):
+            pick, times = np.unique(pick, return_counts=True)
+            for p, g, m, v in zip(net.parameters(), _gradients(net, [chunks_of(texts[i]) for i in pick], labels[pick], times), one, two, strict=True):
                 g = g + DECAY * p
                 m += 0.1 * (g - m)
                 v += 0.001 * (g * g - v)

@@ -1,5 +1,6 @@
 import corpus_pipeline as cp
-from pipehat.llm import decontaminate, pii, quality, simhash
+from pipehat.llm import decontaminate, pii, quality
+from tests.llm.test_simhash_sets import plain_components
 
 SF = "/root/testdata/sf0.001"
 KEYS = ["quality", "near_duplicates", "leaks", "personal_data", "mixture"]
@@ -19,14 +20,12 @@ def test_stages(spark):
     assert sum(scores[i] for i in clean) >= 0.97 * len(clean)
 
     one = cp.written(stage["near_duplicates"](spark, good, SF), "one")
-    groups = {}
-    for r in simhash.near_duplicates(good).collect():
-        groups.setdefault(r.component_id, []).append(r.doc_id)
-    assert sorted(r.doc_id for r in one.collect()) == sorted(groups) and tuple(one.columns) == cp.COLUMNS
+    groups = plain_components({r.doc_id: r.text for r in good.collect()})
+    assert sorted(r.doc_id for r in one.collect()) == sorted(set(groups.values())) and tuple(one.columns) == cp.COLUMNS
 
     left = cp.written(stage["leaks"](spark, one, SF), "left")
     bad = {r.doc_id for r in decontaminate.contaminated(one, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert {r.doc_id for r in left.collect()} == set(groups) - bad
+    assert {r.doc_id for r in left.collect()} == set(groups.values()) - bad
 
     safe = cp.written(stage["personal_data"](spark, left, SF), "safe")
     before, after = {r.doc_id: r.text for r in left.collect()}, {r.doc_id: r for r in safe.collect()}

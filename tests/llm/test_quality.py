@@ -48,17 +48,17 @@ def test_gradients_against_differences():
     for name in ("embed", "filters", "bias", "out", "offset"):
         setattr(net, name, getattr(net, name).astype(np.float64))
     docs = [rng.integers(0, 256, (k, quality.CHUNK)).astype(np.uint16) for k in (1, 3, 2)]
-    y = np.array([1.0, 0.0, 1.0])
+    y, times = np.array([1.0, 0.0, 1.0]), np.array([1, 3, 2])
 
     def loss():
         total = 0
-        for d, t in zip(docs, y, strict=True):
+        for d, t, n in zip(docs, y, times, strict=True):
             h = quality.pooled(net, d).astype(np.float64)
             p = 1 / (1 + np.exp(-(np.concatenate([h.mean(0), h.max(0)]) @ net.out + net.offset[0])))
-            total -= np.log(p if t else 1 - p) / len(docs)
+            total -= np.log(p if t else 1 - p) * n / times.sum()
         return total
 
-    for p, g in zip(net.parameters(), quality._gradients(net, docs, y), strict=True):
+    for p, g in zip(net.parameters(), quality._gradients(net, docs, y, times), strict=True):
         for k in rng.integers(0, p.size, 6):
             at = np.unravel_index(k, p.shape)
             before, eps = p[at], 1e-4
