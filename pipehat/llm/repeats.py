@@ -8,13 +8,16 @@ document and earlier start). How the work is dealt out:
 2. Every window of ``LENGTH`` bytes is owned by an anchor, the least of its ``ANCHOR``-byte strings by
    hash. Equal windows have equal anchors, so only windows of anchors that occur twice are looked at.
    Each block sends an anchor once however often it holds it, so no anchor has more rows than blocks.
-3. The text around the windows of a repeated anchor (a segment) goes to the anchor. Segments of many
+3. The text around the windows of a repeated anchor (a segment) goes to the anchor. Of equal segments of one anchor a block sends
+   the first (a partial aggregation before the shuffle: the others are marked at once). Segments of many
    anchors make one text, for which a run-compressed Burrows-Wheeler transform is built, with the
    suffix-array samples at the run ends. From those samples alone, matching statistics stream
    along the text: within a run, the neighbour in suffix order moves on by one and the match shortens by
    one. Windows linked by matches of LENGTH or more are equal; all but the first are marked.
-4. Anchors with more than ``HOT_SEGMENTS`` segments (the edges of a passage that very many documents
-   quote) are split into single windows by their 128-bit digests, which are aggregated before the shuffle.
+4. An anchor's segments come in corpus order, about ``INDEX_BYTES`` at a time, each time with the segments before that held a window
+   of their own. To bound those, an anchor with more than ``HOT_SEGMENTS`` segments is split by the symbols next to it: of the bytes of a window that are
+   not known to be equal yet, half is taken in on the side where the window has that many. Equal windows are split alike, so they stay together;
+   after seven splits the windows of a part are all equal. The index decides there as everywhere.
 """
 
 from __future__ import annotations
@@ -24,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_bytes, texts, written
+from .common import documents, forget, text_bytes, texts, written
 
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
@@ -292,60 +296,97 @@ def _ranges(places: np.ndarray, rows: list[tuple]) -> list[tuple[int, int, int,
     return [(rows[o][2], rows[o][3], rows[o][4] + b, c) for o, b, c in zip(own[heads].tolist(), begins.tolist(), counts.tolist(), strict=True)]
 
 
-def index_marks(rows: list[tuple]) -> list[tuple[int, int, int, int]]:
-    """Marks of ``rows`` (doc_id, ord, block, row, start, segment, windows, anchor): all rows of some anchors."""
-    rows.sort(key=lambda r: (r[0] is None, r[0] or 0, r[1], r[4]))
-    marks, first, variety = [], {}, {}
-    for r in rows:
-        if r[5] in first:
-            marks.append((r[2], r[3], r[4], r[6]))
-        else:
-            first[r[5]] = r
-            variety[r[7]] = variety.get(r[7], 0) + 1
-    # an anchor with one segment repeats nothing but that segment
-    distinct = [r for r in first.values() if variety[r[7]] > 1]
-    if distinct:
-        marks += _ranges(repeated_windows([r[5] for r in distinct]), distinct)
-    return marks
+def index_marks(rows: list[tuple], old: int = 0) -> tuple[list[tuple[int, int, int, int]], list[tuple]]:
+    """Marks of ``rows`` (doc_id, ord, block, row, start, segment, windows, anchor) in corpus order, and the rows that hold a window of their own.
+
+    The first ``old`` rows were judged before and get no marks.
+    """
+    places = repeated_windows([r[5] for r in rows])
+    owner = np.searchsorted(np.cumsum([len(r[5]) for r in rows]), places, "right")
+    repeated = np.bincount(owner, minlength=len(rows))
+    return _ranges(places[owner >= old], rows), [r for k, r in enumerate(rows) if k < old or repeated[k] < r[6]]
+
+
+def corpus_order(row: tuple) -> tuple:
+    return row[0] is None, row[0] or 0, row[1], row[2], row[3], row[4]
 
 
 def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Marks of segments that come by anchor, and each anchor's in corpus order."""
     held: list[tuple] = []
-    size, last = 0, None
+    old, size, most = 0, 0, INDEX_BYTES
 
-    def flush():
-        marks = index_marks(held)
-        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in marks], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64()))], ["block", "row", "start", "windows"])
+    def found(rows: list[tuple], n_old: int) -> tuple[pa.RecordBatch, list[tuple]]:
+        if not n_old:
+            rows = sorted(rows, key=corpus_order)  # of several anchors
+        marks, own = index_marks(rows, n_old)
+        return pa.RecordBatch.from_arrays([pa.array([m[i] for m in marks], pa.int64()) for i in range(4)], ["block", "row", "start", "windows"]), own
 
     for batch in batches:
         for r in zip(*(batch.column(i).to_pylist() for i in range(8)), strict=True):
-            if r[7] != last and size > INDEX_BYTES:
-                yield flush()
-                held, size = [], 0
+            if held and r[7] != held[-1][7]:
+                if old or size > INDEX_BYTES:
+                    yield found(held, old)[0]
+                    held, old, size, most = [], 0, 0, INDEX_BYTES
+            elif size > 2 * most:  # in the middle of an anchor
+                first = next(k for k, x in enumerate(held) if x[7] == r[7])
+                if first:  # the anchors before it are whole
+                    yield found(held[:first], 0)[0]
+                    held = held[first:]
+                marks, held = found(held, old)
+                yield marks
+                old, size = len(held), sum(len(x[5]) for x in held)
+                most = max(INDEX_BYTES, size)
             held.append(r)
             size += len(r[5])
-            last = r[7]
     if held:
-        yield flush()
+        yield found(held, old)[0]
 
 
-def _hot_marks(rows: DataFrame) -> DataFrame:
-    """Marks of the segments of hot anchors, window by window."""
+def split_segment(anchor: int, start: int, windows: int, segment: bytes, low: int | None, high: int | None) -> list[tuple]:
+    """The parts (anchor, start, windows, segment, low, high) of a segment by the symbols next to what its windows have in common.
+
+    Bytes ``low`` to ``high`` of the segment are common to all windows of the anchor; at first that is the anchor itself.
+    """
+    if low is None:
+        low = int(np.flatnonzero(anchor_hashes(np.frombuffer(segment, np.uint8)).view(np.int64) == anchor)[0])
+        high = low + ANCHOR
+    unseen = LENGTH - (high - low)
+    if not unseen:
+        return [(anchor, start, windows, segment, low, high)]
+    half = -(-unseen // 2)
+    cut = min(max(high + half - LENGTH, 0), windows)  # windows from here on have ``half`` bytes or more behind the common ones
+    out = []
+    for first, stop, a, b, side in ((0, cut, low - (unseen - half + 1), high, b"<"), (cut, windows, low, high + half, b">")):
+        if first < stop:
+            key = xxhash.xxh64_intdigest(side + segment[a:b], anchor & (1 << 64) - 1)
+            out.append((key - (1 << 64) if key >> 63 else key, start + first, stop - first, segment[first : stop - 1 + LENGTH], a - first, b - first))
+    return out
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 2000):
-                out = []
-                for doc, order, block, row, start, segment in zip(*(batch.column(i).slice(k, 2000).to_pylist() for i in range(6)), strict=True):
-                    for i in range(len(segment) - LENGTH + 1):
-                        out.append((hashlib.md5(segment[i : i + LENGTH]).digest(), doc, order, start + i, block, row))
-                names = ["window", "doc_id", "ord", "start", "block", "row"]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.binary() if i == 0 else pa.int64()) for i in range(6)], names)
 
-    one = rows.select("doc_id", "ord", "block", F.col("row").cast("long"), F.col("start").cast("long"), "segment").mapInArrow(split, "window binary, doc_id long, ord long, start long, block long, row long")
-    place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "ord", "start")
-    first = one.groupBy("window").agg(F.min(place).alias("first")).withColumnRenamed("window", "of")
-    return one.join(first, F.col("window") == F.col("of")).where(~place.eqNullSafe(F.col("first"))).select("block", "row", "start", F.lit(1).cast("long").alias("windows"))
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["anchor", "doc_id", "ord", "block", "row", "start", "windows", "segment", "low", "high"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
+    for batch in batches:
+        for k in range(0, batch.num_rows, 2000):
+            out = []
+            for anchor, doc, order, block, row, start, windows, segment, low, high in zip(*(batch.column(i).slice(k, 2000).to_pylist() for i in range(10)), strict=True):
+                out += [(x[0], doc, order, block, row, *x[1:]) for x in split_segment(anchor, start, windows, segment, low, high)]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], names)
+
+
+def cooled(sent: DataFrame, hot_segments: int) -> DataFrame:
+    """``sent`` (segments) with those of anchors beyond ``hot_segments`` split until no part has more, or its windows are equal."""
+    rows = sent.select("anchor", "doc_id", "ord", "block", "row", "start", "windows", "segment", F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    done = None
+    for _ in range(7):
+        hot = written(rows.groupBy("anchor").agg(F.count("*").alias("n"), F.coalesce(F.max(F.col("high") - F.col("low")), F.lit(0)).alias("known")).where((F.col("n") > hot_segments) & (F.col("known") < LENGTH)).select("anchor"), "hot")
+        if hot.isEmpty():
+            break
+        cool = rows.join(hot, "anchor", "left_anti")
+        done = cool if done is None else done.union(cool)
+        rows = written(rows.join(hot, "anchor", "left_semi").select(rows.columns).mapInArrow(_split, f"{SEGMENTS.replace('segment binary', '')}segment binary, low int, high int"), "split")
+    return rows if done is None else done.union(rows)
 
 
 def _kept(group: pa.Table, marks: pa.Table) -> pa.Table:
@@ -378,7 +419,8 @@ def without_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFr
 
     Null texts count as empty; texts of fewer than LENGTH bytes lose nothing. Documents are taken by
     doc_id, null ids last, and rows of one id by the digest of their text; exactly repeated rows of one
-    id are one document, and each gets its result. An empty table gives an empty result.
+    id are one document, and each gets its result. Ties between equal strings go to the earlier place. Very long texts are cut into
+    overlapping pieces, a block each. Of ``docs`` only doc_id and text are read. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("binary"), F.lit(b"")).alias("text"))
@@ -390,31 +432,23 @@ def without_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFr
     alike = (F.col("sha") == F.col("first_sha")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     distinct = rows.join(firsts.hint("shuffle_hash"), alike, "left_semi").select("doc_id", "sha", "text")
     blocks = written(distinct.mapInArrow(_blocks, "doc_id long, sha binary, text binary, block long, row int"), "blocks")
-    blocks = blocks.withColumn("ord", F.xxhash64("sha"))
+    keyed = blocks.withColumn("ord", F.xxhash64("sha"))
 
     anchors = blocks.select("text", "block").mapInArrow(_anchors, "anchor long, place long")
     every = "count(*) over (partition by anchor) + max(place % 2) over (partition by anchor)"
     repeated = anchors.withColumn("times", F.expr(every)).where("times > 1").select("anchor", F.expr("place div 2").alias("block"))
     repeated = written(repeated, "repeated")
-    grouped = blocks.select("block", "row", "doc_id", "ord", "text").groupBy("block")
+    grouped = keyed.select("block", "row", "doc_id", "ord", "text").groupBy("block")
     segments = written(grouped.cogroup(repeated.groupBy("block")).applyInArrow(_segments, SEGMENTS), "segments")
 
-    sent = segments.where("segment is not null")
-    hot = written(sent.groupBy("anchor").count().where(F.col("count") > hot_segments).select("anchor"), "hot")
-    parts = [segments.where("segment is null").select("block", "row", "start", "windows")]
-    cool = sent
-    if not hot.isEmpty():
-        cool = sent.join(hot, "anchor", "left_anti")
-        parts.append(_hot_marks(sent.join(hot, "anchor", "left_semi")))
-    cool = cool.select("doc_id", "ord", "block", "row", "start", "segment", "windows", "anchor")
-    parts.append(cool.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_marked, "block long, row long, start long, windows long"))
-    marks = parts[0].select(*(F.col(c).cast("long") for c in ("block", "row", "start", "windows")))
-    for p in parts[1:]:
-        marks = marks.union(p)
-    marks = written(marks, "marks")
+    sent = cooled(segments.where("segment is not null"), hot_segments).select("doc_id", "ord", "block", "row", "start", "segment", "windows", "anchor")
+    sent = sent.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").isNull(), "doc_id", "ord", "block", "row", "start")
+    marks = segments.where("segment is null").select(*(F.col(c).cast("long") for c in ("block", "row", "start", "windows")))
+    marks = written(marks.union(sent.mapInArrow(_marked, "block long, row long, start long, windows long")), "marks")
 
     kept = blocks.select("block", "doc_id", "sha", "row", "text").groupBy("block").cogroup(marks.groupBy("block"))
     kept = written(kept.applyInArrow(_kept, "of_id long, of_sha binary, removed long, spans long, kept string"), "kept")
+    forget(blocks, repeated, segments, marks)
     kept = kept.join(firsts, (F.col("of_sha") == F.col("first_sha")) & F.col("of_id").eqNullSafe(F.col("first_id")), "full")
     kept = kept.select(F.coalesce("of_sha", "first_sha").alias("of_sha"), "first_id", "removed", "spans", "kept")
     out = ids.join(kept, F.col("sha") == F.col("of_sha"), "left")
@@ -429,4 +463,5 @@ def without_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFr
 
 
 def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What remains of each text of ``documents``; see ``without_repeats`` for nulls, empty and very long texts, ties and repeated rows."""
     return without_repeats(documents(spark, sf_dir, "doc_id", "text"))

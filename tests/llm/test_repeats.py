@@ -82,6 +82,70 @@ def test_query_against_sets(spark, monkeypatch):
     assert results(df, hot_segments=2) == want
 
 
+def test_marks_in_portions(monkeypatch):
+    """Anchors that come in portions give the marks that sets give."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(97, 123, 400).astype(np.uint8).tobytes()
+    rows = []
+    for k in range(300):
+        a, w = int(rng.integers(0, 200)), int(rng.integers(1, 60))
+        rows.append((k // 3, 0, 0, k // 3, 1000 * (k % 3), base[a : a + w + L - 1], w, int(a // 40)))
+    rows.sort(key=lambda r: (r[7], repeats.corpus_order(r)))
+    want = set()
+    for anchor in {r[7] for r in rows}:
+        seen = set()
+        for r in (x for x in rows if x[7] == anchor):
+            for i in range(r[6]):
+                if r[5][i : i + L] in seen:
+                    want.add((anchor, r[2], r[3], r[4] + i))
+                seen.add(r[5][i : i + L])
+    batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(),) * 5 + (pa.binary(), pa.int64(), pa.int64()))], [*"abcdefgh"])
+    for size in (200, 3_000, 1 << 20):
+        monkeypatch.setattr(repeats, "INDEX_BYTES", size)
+        got = set()
+        for anchor in {r[7] for r in rows}:  # one at a time: here equal windows may lie at several anchors
+            own = batch.filter(pa.array([r[7] == anchor for r in rows]))
+            for part in repeats._marked(iter([own.slice(0, 20), own.slice(20)])):
+                for block, row, start, n in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    got |= {(anchor, block, row, start + i) for i in range(n)}
+        assert got == want, size
+
+
+def test_split_segments_keep_equal_windows_together():
+    rng = np.random.default_rng(7)
+    shared = rng.integers(97, 123, 200).astype(np.uint8).tobytes()
+    parts = []
+    for k in range(40):
+        text = rng.integers(97, 123, 60).astype(np.uint8).tobytes() + shared[int(rng.integers(0, 60)) : 200 - int(rng.integers(0, 60))] + rng.integers(97, 123, 60).astype(np.uint8).tobytes()
+        data = np.frombuffer(text, np.uint8)
+        for f, w, h in zip(*repeats.owned_runs(data, np.array([0, len(data)])), strict=True):
+            parts.append((int(h.view(np.int64)), int(f), int(w), text[f : f + w + L - 1], None, None, k, text))
+    for _ in range(8):
+        places, keys = [], {}
+        for anchor, start, windows, segment, low, high, k, text in parts:
+            assert segment == text[start : start + windows + L - 1]
+            for i in range(windows):
+                places.append((k, start + i))
+                keys.setdefault(segment[i : i + L], set()).add((anchor, None if low is None else low - i))
+        assert all(len(x) == 1 for x in keys.values())  # equal windows: one anchor, one place in it
+        assert len(places) == len(set(places)) == sum(len(t) - L + 1 for t in {p[6]: p[7] for p in parts}.values())
+        parts = [(*x, p[6], p[7]) for p in parts for x in repeats.split_segment(*p[:6])]
+    assert all(high - low == L for _, _, _, _, low, high, _, _ in parts)
+
+
+def test_a_text_longer_than_a_piece_and_a_block(spark):
+    rng = np.random.default_rng(9)
+    body = rng.integers(97, 123, 4_600_000).astype(np.uint8)
+    at = 4_400_000
+    body[at : at + 300] = body[1_048_400 : 1_048_700]  # across the edge of a piece
+    body[2_097_000:2_097_500] = body[10:510]
+    docs = [(5, body.tobytes().decode()), (7, body[3_000_000:3_000_400].tobytes().decode() + "!"), (9, "z" * 1000), (2, body[500_000:500_150].tobytes().decode())]
+    got = results(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert got == plain([(i, t.encode()) for i, t in docs])
+
+
 def test_small_pieces(monkeypatch):
     monkeypatch.setattr(repeats, "PIECE", 150)
     rng = np.random.default_rng(2)
