@@ -10,10 +10,13 @@ chance of 0.15 each: far more than the few bits of a copy. Three things make up
    eight planes a step; the counters start so high that they overflow beyond ``RADIUS``, and words without a live lane are abandoned.
 3. Every link is decided by the exact similarity of the two sets.
 
-Groups of any size don't make all pairs. A bucket gives a spanning forest of its close fingerprints; of it, one link a text is
-verified first, then those whose ends are still apart. Only where a link was refuted can a forest have hidden another, so there, and
-only there, all close pairs that are still apart are verified. A bucket of more than ``HOT_BUCKET`` texts is dealt to parts, with its
-first text in each; what the parts leave apart from that text is then compared with all of them.
+Groups of any size don't make all pairs. A bucket gives a spanning forest of its close fingerprints, and the forests of all tables
+give candidate groups, within which every pair that the tables propose lies. The set of each text goes once to its candidate group,
+where the exact similarities decide: first to the most common text, then of what is still apart from the largest part. Candidate groups
+beyond ``GROUP_TEXTS`` or ``GROUP_SHINGLES`` are decided bucket by bucket instead, of all tables.
+
+A bucket of more than about ``HOT_BUCKET`` texts (a sample of the texts says which: that deals out work and decides no pair) is dealt to parts, with one
+text of it, its head, in each; what the parts leave apart from the head is then held against all parts.
 """
 
 from __future__ import annotations
@@ -44,6 +47,9 @@ MISS = 2e-4
 HOT_BUCKET = 8192
 SHIFTS = 32
 QUERIES = 64
+HOT_SAMPLE = 64
+GROUP_TEXTS = 8192
+GROUP_SHINGLES = 1 << 23
 BLOCK_BYTES = 8 << 20
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -183,10 +189,10 @@ def of_queries(planes: np.ndarray, queries: np.ndarray, live: np.ndarray) -> lis
     return [_lanes(f) for f in found]
 
 
-def close_pairs(groups: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray, forest: bool) -> list[tuple[int, int]]:
-    """Pairs of lanes of one group (sorted) with different labels, close fingerprints, and sizes that allow the similarity.
+def close_pairs(groups: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels: np.ndarray) -> list[tuple[int, int]]:
+    """A forest of pairs of lanes of one group (sorted) with close fingerprints and sizes that allow the similarity.
 
-    With ``forest``, a pair gives both its lanes one label from then on, so that the pairs are a spanning forest.
+    Lanes of one label count as joined; together with the labels, the pairs join all that any close pairs do.
     """
     out: list[tuple[int, int]] = []
     root = np.unique(labels, return_inverse=True)[1].reshape(-1)
@@ -202,12 +208,10 @@ def close_pairs(groups: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels:
         return i
 
     def take(i: int, j: int) -> None:
-        if forest:
-            x, y = top(i), top(j)
-            if x == y:
-                return
+        x, y = top(i), top(j)
+        if x != y:
             root[max(x, y)] = min(x, y)
-        out.append((i, j))
+            out.append((i, j))
 
     def settle() -> None:
         while True:
@@ -247,44 +251,123 @@ def close_pairs(groups: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels:
     return out
 
 
-def _compared(forest: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Sorted bucket rows (bucket, part, node, n, one, two, label) to pairs of nodes (bucket, part, a, b)."""
+def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted bucket rows (bucket, part, node, n, one, two, label) to forests of close nodes (bucket, part, a, b)."""
+    held: list[list[np.ndarray]] = []
+    rows = 0
+
+    def flush(final: bool) -> Iterator[pa.RecordBatch]:
+        nonlocal held, rows
+        if not held:
+            return
+        whole = [np.concatenate([h[i] for h in held]) for i in range(7)]
+        fresh = np.concatenate([[True], (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])])
+        end = len(fresh) if final else int(np.flatnonzero(fresh)[-1])
+        if end:
+            bucket, part, node, n, one, two, label = (x[:end] for x in whole)
+            fps = np.stack([one.view(np.uint64), two.view(np.uint64)], 1)
+            pairs = np.array(close_pairs(np.cumsum(fresh[:end]), fps, n, label), np.int64).reshape(-1, 2)
+            a, b = np.minimum(node[pairs[:, 0]], node[pairs[:, 1]]), np.maximum(node[pairs[:, 0]], node[pairs[:, 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[pairs[:, 0]], part[pairs[:, 0]], a, b)], ["bucket", "part", "a", "b"])
+        held = [[x[end:] for x in whole]] if end < len(fresh) else []
+        rows = len(fresh) - end
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-        rows = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append([batch.column(i).to_numpy() for i in range(7)])
+            rows += batch.num_rows
+        if rows >= LANES:
+            yield from flush(False)
+    yield from flush(True)
 
-        def flush(final: bool) -> Iterator[pa.RecordBatch]:
-            nonlocal held, rows
-            if not held:
-                return
-            whole = [np.concatenate([h[i] for h in held]) for i in range(7)]
-            fresh = np.concatenate([[True], (whole[0][1:] != whole[0][:-1]) | (whole[1][1:] != whole[1][:-1])])
-            end = len(fresh) if final else int(np.flatnonzero(fresh)[-1])
-            if end:
-                bucket, part, node, n, one, two, label = (x[:end] for x in whole)
-                fps = np.stack([one.view(np.uint64), two.view(np.uint64)], 1)
-                pairs = np.array(close_pairs(np.cumsum(fresh[:end]), fps, n, label, forest), np.int64).reshape(-1, 2)
-                a, b = np.minimum(node[pairs[:, 0]], node[pairs[:, 1]]), np.maximum(node[pairs[:, 0]], node[pairs[:, 1]])
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[pairs[:, 0]], part[pairs[:, 0]], a, b)], ["bucket", "part", "a", "b"])
-            held = [[x[end:] for x in whole]] if end < len(fresh) else []
-            rows = len(fresh) - end
-
-        for batch in batches:
-            if batch.num_rows:
-                held.append([batch.column(i).to_numpy() for i in range(7)])
-                rows += batch.num_rows
-            if rows >= LANES:
-                yield from flush(False)
-        yield from flush(True)
-
-    return run
-
-
-def _pairs(rows: DataFrame, forest: bool) -> DataFrame:
-    """Close pairs of ``rows`` (bucket, part, node, n, one, two, label)."""
+
+def _close(rows: DataFrame) -> DataFrame:
+    """Forests of the close nodes of each bucket part of ``rows`` (bucket, part, node, n, one, two, label)."""
     rows = rows.select("bucket", "part", "node", F.col("n").cast("long").alias("n"), "one", "two", "label")
-    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(_compared(forest), "bucket long, part long, a long, b long")
+    return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(_compared, "bucket long, part long, a long, b long").where("a <> b")
+
+
+# ---- exact similarities
+
+
+def similar_pairs(sets: list[np.ndarray], labels: list[int]) -> list[tuple[int, int]]:
+    """A forest of pairs of ``sets`` that are similar enough; sets of one label count as joined."""
+    root, out = [labels.index(x) for x in labels] if len(sets) < 64 else None, []
+    if root is None:
+        first: dict[int, int] = {}
+        root = [first.setdefault(x, i) for i, x in enumerate(labels)]
+
+    def top(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(i: int, j: int) -> None:
+        x, y = top(i), top(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+            out.append((min(i, j), max(i, j)))
+
+    if len(sets) < 12:
+        for j in range(len(sets)):
+            for i in range(j):
+                if top(i) != top(j) and close(sets[i], sets[j]):
+                    join(i, j)
+        return out
+    sizes = np.array([len(x) for x in sets])
+    owner = np.repeat(np.arange(len(sets)), sizes)
+    _, column, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    lists, ends = owner[order], np.cumsum(counts)
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+
+    def alike(i: int) -> np.ndarray:
+        """The sets that are similar enough to set i."""
+        own = column[starts[i] : starts[i + 1]]
+        common = np.bincount(np.concatenate([lists[ends[c] - counts[c] : ends[c]] for c in own]), minlength=len(sets))
+        return np.flatnonzero(common * LEAST[1] >= (sizes[i] + sizes - common) * LEAST[0])
+
+    middle = int(np.argmax(np.bincount(owner, counts[column].astype(float)) / sizes))  # the set whose shingles most others have
+    for j in alike(middle).tolist():
+        join(middle, j)
+    tops = np.array([top(i) for i in range(len(sets))])
+    names, times = np.unique(tops, return_counts=True)
+    for i in np.flatnonzero(tops != names[times.argmax()]).tolist():  # pairs within the largest part need no look
+        for j in alike(i).tolist():
+            join(i, j)
+    return out
+
+
+def _decided(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sorted rows (group, part, node, label, hashes) to forests of similar nodes (a, b)."""
+    held: list[tuple] = []
+    out: list[tuple[int, int]] = []
+
+    def finish() -> None:
+        pairs = similar_pairs([np.frombuffer(x[4], np.uint64) for x in held], [x[3] for x in held])
+        out.extend((min(held[i][2], held[j][2]), max(held[i][2], held[j][2])) for i, j in pairs)
+
+    def links() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in range(2)], ["a", "b"])
+
+    for batch in batches:
+        for row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            if held and held[-1][:2] != row[:2]:
+                finish()
+                held = []
+            held.append(row)
+        yield links()
+        out = []
+    if held:
+        finish()
+    yield links()
+
+
+def _similar(rows: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links of the nodes of each group of ``rows`` (group, part, node, label) that are similar enough; sets are (set_node, hashes)."""
+    rows = rows.join(sets, F.col("node") == F.col("set_node")).select("group", "part", "node", "label", "hashes")
+    return rows.repartition("group", "part").sortWithinPartitions("group", "part", "node").mapInArrow(_decided, "a long, b long").where("a <> b")
 
 
 # ---- the groups
@@ -318,33 +401,33 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingles(x.lower().split()).tobytes() for x in texts(own.column(1))], pa.binary())], ["node", "hashes"])
 
 
-def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        a, b = (batch.column(i).to_pylist() for i in (2, 3))
-        keep = [close(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in zip(a, b, strict=True)]
-        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-
-def _verified(pairs: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b: nodes), those that are similar enough."""
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    needed = written(distinct.join(needed, "node", "left_semi").select("node", F.col("key").alias("own_key")), "needed")
+def _sets_of(nodes: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(set_node, hashes) of ``nodes`` (node)."""
+    needed = written(distinct.join(nodes, "node", "left_semi").select("node", F.col("key").alias("own_key")), "needed")
     rows = docs.where("text is not null").select(key(F.col("text")).alias("key"), "text").join(needed, F.col("key") == F.col("own_key")).select("node", "text")
-    sets = written(rows.mapInArrow(_sets, "node long, hashes binary").groupBy("node").agg(F.first("hashes").alias("hashes")), "sets")
-    both = pairs.join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b").join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a")
-    out = written(both.select("a", "b", "x", "y").mapInArrow(_linked, "a long, b long"), "links")
-    forget(needed, sets)
+    out = written(rows.mapInArrow(_sets, "node long, hashes binary").groupBy(F.col("node").alias("set_node")).agg(F.first("hashes").alias("hashes")), "sets")
+    forget(needed)
     return out
 
 
-def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
-    """Of ``pairs`` (a, b, ...), those whose ends have different roots in ``found`` (node, root)."""
-    root = lambda of: found.select(F.col("node").alias(f"{of}_node"), F.col("root").alias(f"{of}_root"))
-    out = pairs.join(root("a"), F.col("a") == F.col("a_node"), "left").join(root("b"), F.col("b") == F.col("b_node"), "left")
-    return out.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*pairs.columns)
+def _named(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """``rows`` (node, ...) with ``label``: the root of the node in ``found`` (node, root), or the node."""
+    out = rows.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
+    return out.withColumn("label", F.coalesce("root", "node")).drop("linked", "root")
+
 
+def _strays(spread: DataFrame, dealt: DataFrame, hot: DataFrame, found: DataFrame) -> DataFrame | None:
+    """Rows (bucket, part, node, ..., label) that hold what is apart from its hot bucket's head against all parts; None if nothing is."""
+    head = _named(hot.select("bucket", "parts", F.col("head.node").alias("node")), found).select("bucket", "parts", F.col("label").alias("head_label"))
+    out = _named(spread, found).join(head, "bucket").where("label <> head_label")
+    out = written(out.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1))).drop("parts", "head_label"), "strays")
+    if out.isEmpty():
+        return None
+    beside = _named(dealt.join(out.select("bucket", "part").distinct(), ["bucket", "part"], "left_semi"), found)
+    return out.unionByName(beside).distinct()
 
-def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
+
+def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET, group_texts: int = GROUP_TEXTS) -> DataFrame:
     """(doc_id, key, component_id, root) for every row of ``docs`` (doc_id, text); ``key`` is a digest of the text.
 
     Texts that are similar enough are linked; ``component_id`` is the smallest doc_id reachable over links, null if
@@ -359,48 +442,47 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET) -> DataFrame:
 
     masks = F.array(*(F.struct(F.lit(t).alias("t"), F.lit(a).alias("a"), F.lit(b).alias("b")) for t, (a, b) in enumerate(tables(distinct.count()))))
     buckets = F.transform(masks, lambda m: F.xxhash64(m["t"], F.col("one").bitwiseAND(m["a"]), F.col("two").bitwiseAND(m["b"])))
-    spread = distinct.where("n > 0").select(F.explode(buckets).alias("bucket"), "node", "n", "one", "two")
-    hot = spread.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "one", "two")).alias("head")).where(F.col("size") > hot_bucket)
-    hot = written(hot.select("bucket", F.ceil(F.col("size") / hot_bucket).cast("long").alias("parts"), "head"), "hot")
+    spread_of = lambda df: df.where("n > 0").select(F.explode(buckets).alias("bucket"), "node", "n", "one", "two")
+    spread, share = spread_of(distinct), max(1, min(HOT_SAMPLE, hot_bucket // 64))
+    sample = spread_of(distinct.where(F.pmod(F.xxhash64("key"), F.lit(share)) == 0))
+    hot = sample.groupBy("bucket").agg(F.count("*").alias("size"), F.min(F.struct("node", "n", "one", "two")).alias("head")).where(F.col("size") * share > hot_bucket)
+    hot = written(hot.select("bucket", F.ceil(F.col("size") * share / hot_bucket).cast("long").alias("parts"), "head"), "hot")
     any_hot = not hot.isEmpty()
     dealt = spread.withColumn("part", F.lit(0).cast("long"))
     if any_hot:
         parts = F.coalesce(F.pmod(F.xxhash64("node"), F.col("parts")), F.lit(0)).cast("long")
         dealt = spread.join(hot.select("bucket", "parts"), "bucket", "left").select("bucket", "node", "n", "one", "two", parts.alias("part"))
-        heads = hot.select("bucket", F.col("head.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"))
-        dealt = dealt.union(heads).distinct()
-    dealt = dealt.select("bucket", "part", "node", "n", "one", "two")
-
-    close_by = written(_pairs(dealt.withColumn("label", F.col("node")), True).where("a <> b"), "close")
-    tried = written(close_by.groupBy("b").agg(F.min("a").alias("a")).select("a", "b"), "tried")
-    links = _verified(tried, docs, distinct)
+        others = dealt.join(hot.select("bucket", F.col("head.node").alias("node")), ["bucket", "node"], "left_anti")
+        dealt = others.union(hot.select("bucket", F.col("head.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
+
+    pairs = written(_close(dealt.withColumn("label", F.col("node"))), "close")
+    found = written(components(pairs.select("a", "b")), "candidates")
+    if any_hot and (more := _strays(spread, dealt, hot, found)) is not None:
+        pairs = written(pairs.union(_close(more)), "close")
+        found = written(components(pairs.select("a", "b")), "candidates")
+
+    sets = _sets_of(found.select("node"), docs, distinct)
+    sizes = found.join(distinct.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
+    large = written(sizes.where((F.col("texts") > group_texts) | (F.col("shingles") > GROUP_SHINGLES)).select("root"), "large")
+    small = found if large.isEmpty() else found.join(large, "root", "left_anti")
+    links = _similar(small.select(F.col("root").alias("group"), F.lit(0).cast("long").alias("part"), "node", F.col("node").alias("label")), sets)
+    if not large.isEmpty():  # bucket by bucket
+        inside = written(found.join(large, "root", "left_semi").select("node"), "inside")
+        ends = pairs.select("bucket", "part", F.col("a").alias("node")).union(pairs.select("bucket", "part", F.col("b").alias("node"))).distinct()
+        ends = ends.join(inside, "node", "left_semi").select(F.col("bucket").alias("group"), "part", "node", F.col("node").alias("label"))
+        links = written(links.union(_similar(ends, sets)).distinct(), "links")
+        if any_hot:
+            joined = written(components(links), "components")
+            own = spread.join(inside, "node", "left_semi").select("bucket", "node"), dealt.join(inside, "node", "left_semi").select("bucket", "part", "node")
+            if (more := _strays(*own, hot, joined)) is not None:
+                links = links.union(_similar(more.withColumnRenamed("bucket", "group"), sets))
+    former = found
     found = written(components(links), "components")
-    more = written(_apart(close_by.select("a", "b").distinct(), found).join(tried, ["a", "b"], "left_anti"), "more")
-    if not more.isEmpty():
-        old = links, tried
-        links, tried = written(links.union(_verified(more, docs, distinct)), "links"), written(tried.union(more.select("a", "b")), "tried")
-        forget(*old)
-        found = written(components(links), "components")
-
-    again = written(_apart(close_by, found).select("bucket", "part").distinct(), "again")  # where links were refuted
-    named = lambda df: df.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left").withColumn("label", F.coalesce("root", "node")).drop("linked", "root")
-    looked = None if again.isEmpty() else named(dealt.join(again, ["bucket", "part"], "left_semi"))
-    if any_hot:  # what is apart from its bucket's first text, against all parts
-        head = named(hot.select("bucket", "parts", F.col("head.node").alias("node"))).select("bucket", "parts", F.col("label").alias("head_label"))
-        strays = named(spread.join(hot, "bucket", "left_semi")).join(head, "bucket").where("label <> head_label")
-        strays = strays.select("bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), "node", "n", "one", "two", "label")
-        strays = written(strays, "strays")
-        if not strays.isEmpty():
-            beside = named(dealt.join(strays.select("bucket", "part").distinct(), ["bucket", "part"], "left_semi")).union(strays)
-            looked = (beside if looked is None else looked.union(beside)).distinct()
-    if looked is not None:
-        rest = written(_pairs(looked, False).where("a <> b").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "rest")
-        if not rest.isEmpty():
-            found = written(components(links.union(_verified(rest, docs, distinct))), "components")
+    forget(former, sets, pairs, hot)
 
     placed = distinct.join(found.withColumnRenamed("node", "linked"), F.col("node") == F.col("linked"), "left")
     placed = placed.select("key", "first_id", F.coalesce("root", "node").alias("root"))
     least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
     placed = written(placed.join(least, "root").select(F.col("key").alias("own_key"), "component_id", "root"), "placed")
-    forget(distinct, hot, close_by, tried, links, more, again, found)
+    forget(distinct, found)
     return sketches.join(placed, F.col("key") == F.col("own_key")).select("doc_id", "key", "component_id", "root")

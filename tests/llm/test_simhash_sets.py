@@ -33,6 +33,18 @@ def groups(df):
     return {r.doc_id: r.component_id for r in sets.near_duplicates(df).collect()}
 
 
+def parts(n, edges):
+    """The smallest node reachable over ``edges``, of each of ``n`` nodes."""
+    root, changed = list(range(n)), True
+    while changed:
+        changed = False
+        for i, j in edges:
+            if root[i] != root[j]:
+                root[i] = root[j] = min(root[i], root[j])
+                changed = True
+    return root
+
+
 def test_bit_sliced_distances():
     rng = np.random.default_rng(3)
     base = rng.integers(0, 1 << 63, (4, 2)).astype(np.uint64)
@@ -66,13 +78,38 @@ def test_close_pairs():
     distance = lambda i, j: sum(bin(int(x)).count("1") for x in fps[i] ^ fps[j])
     every = {(i, j) for i in range(400) for j in range(i + 1, 400) if groups[i] == groups[j] and distance(i, j) <= sets.RADIUS}
     sizes = np.full(400, 50)
-    assert set(sets.close_pairs(groups, fps, sizes, np.arange(400), False)) == every
-    forest = sets.close_pairs(groups, fps, sizes, np.arange(400), True)
+
+    def joined(pairs, labels):
+        first = {}
+        return parts(400, [*pairs, *((i, first.setdefault((groups[i], labels[i]), i)) for i in range(400))])
+
+    forest = sets.close_pairs(groups, fps, sizes, np.arange(400))
     assert set(forest) <= every and len(forest) == 400 - len({(g, o) for g, o in zip(groups, own)})
     labels = own // 2  # two bases share a label
-    assert set(sets.close_pairs(groups, fps, sizes, labels, False)) == {(i, j) for i, j in every if labels[i] != labels[j]}
+    assert sets.close_pairs(groups, fps, sizes, labels) == [] == [p for p in every if labels[p[0]] != labels[p[1]]]
+    labels = np.arange(400) // 3
+    assert joined(sets.close_pairs(groups, fps, sizes, labels), labels) == joined(every, labels)
     sizes = np.where(np.arange(400) % 2, 50, 100)
-    assert set(sets.close_pairs(groups, fps, sizes, np.arange(400), False)) == {(i, j) for i, j in every if i % 2 == j % 2}
+    got = sets.close_pairs(groups, fps, sizes, np.arange(400))
+    assert joined(got, np.arange(400)) == joined({(i, j) for i, j in every if i % 2 == j % 2}, np.arange(400))
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(2)
+    for n in (2, 9, 40, 90):
+        base = rng.integers(0, 1 << 60, 60).astype(np.uint64)
+        own = []
+        for _ in range(n):
+            x, k = base.copy(), int(rng.integers(0, 14))
+            x[:k] = rng.integers(0, 1 << 60, k)
+            own.append(np.unique(rng.permutation(x)[: int(rng.integers(50, 61))]))
+        every = {(i, j) for j in range(n) for i in range(j) if sets.close(own[i], own[j])}
+        for labels in (list(range(n)), [i // 4 for i in range(n)]):
+            got = sets.similar_pairs(own, labels)
+            assert set(got) <= every
+
+            alike = [(i, labels.index(labels[i])) for i in range(n)]
+            assert parts(n, [*got, *alike]) == parts(n, [*every, *alike])
 
 
 def test_tables_meet():
@@ -109,7 +146,8 @@ def test_edited_texts_against_brute_force(spark):
     texts |= {900: "", 901: None, 902: " \n", 903: "one", 904: "ONE", 905: "one two", 906: "x " * 20_000}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     assert groups(df) == plain_components(texts)
-    assert {r.doc_id: r.component_id for r in sets.near_duplicates(df, hot_bucket=5).collect()} == plain_components(texts)
+    for limits in ((5, 8192), (8192, 10), (5, 10)):
+        assert {r.doc_id: r.component_id for r in sets.near_duplicates(df, *limits).collect()} == plain_components(texts), limits
     assert sets.near_duplicates(df.limit(0)).collect() == []
 
 
