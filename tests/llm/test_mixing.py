@@ -30,7 +30,7 @@ def plain(rows):
             sums[c[k]] = sums.get(c[k], 0) + n
         p = {v: n ** mixing.TEMPERS[d] for v, n in sums.items() if n}
         wanted.append({v: x / sum(p.values()) for v, x in p.items()})
-    for _ in range(mixing.SWEEPS):
+    for _ in range(mixing.MOST_SWEEPS):
         for k in range(3):
             sums = {}
             for c, w in weight.items():
@@ -88,3 +88,31 @@ def test_expected_tokens_match_targets(spark):
         shares[r.mix_source] = shares.get(r.mix_source, 0) + r.mix_tokens * r.probability * r.weight / (whole * mixing.RATE)
     wanted = plain(rows)[2][0]
     assert all(abs(shares[v] - x) < 0.01 for v, x in wanted.items())
+
+
+def test_given_targets_and_topics(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, "w " * int(rng.integers(1, 300)), f"s{rng.integers(4)}", "en" if rng.random() < 0.7 else None, f"t{rng.integers(3)}") for i in range(500)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, subject string")
+    targets = [("source", "s0", 0.5), ("source", "s1", 0.1), ("lang", None, 0.6), ("topic", "t2", 0.25), ("topic", "t2", 0.25), ("topic", "nowhere", 0.3)]
+    table = spark.createDataFrame(targets, "dimension string, value string, share double")
+    cells = mixing.raked_cells(mixing.described(df, "subject"), targets=table)
+    report = {(r.dimension, r.value): r for r in mixing.margins(cells).collect()}
+    whole = sum(r.weight for k, r in report.items() if k[0] == "source")
+    assert max(r.error for r in report.values()) <= mixing.TOLERANCE
+    share = {k: r.weight / whole for k, r in report.items()}
+    assert abs(share["source", "s0"] - 0.5) < 1e-9 and abs(share["source", "s1"] - 0.1) < 1e-9 and abs(share["source", "s2"] + share["source", "s3"] - 0.4) < 1e-9
+    assert abs(share["lang", mixing.NONE] - 0.6) < 1e-9 and abs(share["topic", "t2"] - 0.5) < 1e-9
+    # targets that can't all be met end in a report, not in an endless loop
+    odd = spark.createDataFrame([(1, "a b c", "x", "en"), (2, "d e f", "y", "de")], "doc_id long, text string, source string, lang string")
+    against = spark.createDataFrame([("source", "x", 0.9), ("source", "y", 0.1), ("lang", "en", 0.2), ("lang", "de", 0.8)], "dimension string, value string, share double")
+    cells = mixing.raked_cells(mixing.described(odd), targets=against)
+    assert mixing.margins(cells).agg({"error": "max"}).first()[0] > 0.1
+
+
+def test_clashing_columns(spark):
+    rows = [(i, "w " * (i + 1), f"s{i % 3}", "en", f"own{i}", f"kept{i}", "old", 5.0) for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string, cell_source string, cell__lang string, mix_topic string, share double")
+    got = mixing.mixed(df)
+    assert sorted(got.columns) == sorted([*df.columns, "mix_tokens", "mix_source", "mix_lang", "probability", "weight", "sampled"])
+    assert {(r.doc_id, r.cell_source, r.cell__lang, r.share) for r in got.collect()} == {(r[0], r[4], r[5], r[7]) for r in rows} and all(r.mix_topic == "brief" for r in got.collect())
