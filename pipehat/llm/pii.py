@@ -3,18 +3,19 @@
 The base kinds (email, ip, card, phone) follow fixed patterns and checks and always stay. For the
 others, high-recall generators propose overlapping candidates; gradient-boosted trees score them by
 format and context; a candidate is taken if its calibrated probability reaches a threshold that was
-set for precision on held-out candidates, best first, without overlaps among the added spans and
+set for precision on candidates that neither the trees nor the calibration saw, best first, without overlaps among the added spans and
 never over a base span. The trees learn from generated, labelled text (twice ``TRAINING_TEXTS``
 texts from fixed seeds), so that no personal data is needed to train them.
 """
 
 from __future__ import annotations
 
+import bisect
 import functools
 import hashlib
 import itertools
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,14 +23,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import boosting
-from .common import documents, texts
+from .common import byte_slices, documents, texts
 
 BASE = ("email", "ip", "card", "phone")
-ADDED = ("masked_email", "local_phone", "ssn", "iban", "birthdate", "mac", "name")
+ADDED = ("masked_email", "local_phone", "ssn", "iban", "birthdate", "mac", "name", "address")
 KINDS = BASE + ADDED
 TRAINING_TEXTS = 3000
 PRECISION = 0.99
 CONTEXT = 32
+SLICE_BYTES = 4 << 20
 
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+")
@@ -87,6 +89,15 @@ def in_order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0]), s[2]))
 
 
+_CAPITAL = "A-ZÀ-ÖØ-Þ"
+# Kinds of roads, titles, and given names that are common in several languages.
+_ROADS = "Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Drive|Dr|Boulevard|Blvd|Way|Court|Ct|Square|Terrace"
+TITLES = ("Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "Mme", "Sra", "Sr")
+GIVEN = frozenset(
+    "John James Robert Michael William David Richard Joseph Thomas Charles Mary Patricia Jennifer Linda Elizabeth Barbara Susan Jessica Sarah Karen Anna Maria Peter Paul Hans Klaus Jürgen Wolfgang "
+    "Sabine Petra Ursula Jean Pierre Michel Marie Nathalie Isabelle Luis José Juan Carlos Carmen Ana Elena Laura Lucía Daniel Martin Julia Sophie Emma Lukas Alice Jane Tom Eva Max".split()
+)
+
 # A full stop before a space or a capital ends a sentence; a host name goes on.
 _SENTENCE = re.compile(r"\.(?: |[A-Z])")
 _AT = r"(?:\[at\]|\(at\)|\bat\b) ?[A-Za-z0-9-]{1,63}(?: ?(?:\[dot\]|\(dot\)|\bdot\b|\.) ?[A-Za-z0-9-]{2,63}){1,4}"
@@ -98,9 +109,19 @@ GENERATORS = {
     "birthdate": re.compile(r"[0-9]{1,4}[-/.][0-9]{1,2}[-/.][0-9]{1,4}"),
     "mac": re.compile(r"[0-9A-Fa-f]{2}(?:[:-][0-9A-Fa-f]{2}){5}"),
     "name": re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\.? [A-Z][^\W\d_]{1,30}(?: [A-Z][^\W\d_]{1,30})?"),
+    "untitled": re.compile(rf"(?<!\w)[{_CAPITAL}][^\W\d_{_CAPITAL}]{{1,20}}(?: [{_CAPITAL}]\.)? (?:(?:de|da|von|van|der|la|di) ){{0,2}}[{_CAPITAL}][^\W\d_]{{1,20}}(?:-[{_CAPITAL}][^\W\d_]{{1,20}})?"),
+    "address": re.compile(
+        rf"(?<![\w.-])[0-9]{{1,5}}[a-z]? (?:[{_CAPITAL}][^\W\d_]{{1,20}} ){{1,3}}(?:{_ROADS})\b\.?"
+        rf"|(?<!\w)[{_CAPITAL}][^\W\d_]{{1,24}}(?:stra(?:ß|ss)e|str\.|weg|platz|allee|gasse) [0-9]{{1,4}}[a-z]?(?!\w)"
+        rf"|(?<![\w.-])[0-9]{{1,4}},? (?:rue|avenue|place|boulevard|chemin) (?:(?:de|du|des|la|le) |d'|l'){{0,2}}[{_CAPITAL}][^\W\d_]{{1,24}}"
+        rf"|(?<!\w)(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo) (?:(?:de|del|la|los|las) ){{0,2}}[{_CAPITAL}][^\W\d_]{{1,24}},? [0-9]{{1,4}}(?!\w)"
+    ),
 }
+#: Generators that propose a kind of another name.
+KIND_OF = {"untitled": "name"}
 # What a generator accepts always holds what its kind needs, so that a span does not depend on other spans of its text.
-NEEDS = {"masked_email": re.compile(_AT), "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b", re.A)}
+_PAIR = re.compile(rf"[{_CAPITAL}][^\W\d_]+(?: [{_CAPITAL}]\.)? (?:(?:de|da|von|van|der|la|di) ){{0,2}}[{_CAPITAL}]")
+NEEDS = {"untitled": _PAIR, "masked_email": re.compile(_AT), "name": re.compile(r"\b(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Mme|Sra?)\b", re.A)}
 KEYWORDS = {
     "masked_email": ("mail", "contact", "write", "reach"),
     "local_phone": ("phone", "tel", "call", "fax", "mobile", "cell"),
@@ -108,7 +129,8 @@ KEYWORDS = {
     "iban": ("iban", "account", "bank", "transfer"),
     "birthdate": ("born", "birth", "dob"),
     "mac": ("mac", "device", "hardware", "ethernet"),
-    "name": ("name", "patient", "signed", "contact", "dear", "by"),
+    "name": ("name", "patient", "signed", "contact", "dear", "by ", "author", "regards", "i am", "employee", "customer"),
+    "address": ("address", "lives", "live at", "street", "ship", "deliver", "home", "located", "visit"),
 }
 
 
@@ -118,7 +140,7 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     out = []
     for kind, pattern in GENERATORS.items():
         if NEEDS[kind].search(text) if kind in NEEDS else digit:
-            out += [(kind, *m.span()) for m in pattern.finditer(text)]
+            out += [(KIND_OF.get(kind, kind), *m.span()) for m in pattern.finditer(text)]
     for kind, start, end in [c for c in out if c[0] == "masked_email"]:  # also up to the end of the sentence
         stop = _SENTENCE.search(text, start, end)
         if stop and GENERATORS[kind].fullmatch(text, start, stop.start()):
@@ -137,7 +159,30 @@ def _date_ok(s: str) -> bool:
     return 1900 <= year <= 2030 and 1 <= min(a, b) <= 12 and 1 <= max(a, b) <= 31
 
 
-def features(text: str, span: tuple[str, int, int], base: list[tuple[str, int, int]]) -> list[float]:
+class Taken:
+    """Places of a text that are taken, as sorted runs that don't touch one another's inside."""
+
+    def __init__(self, spans: list[tuple[str, int, int]]):
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        for _, start, end in sorted(spans, key=lambda s: s[1]):
+            if self.ends and start < self.ends[-1]:
+                self.ends[-1] = max(self.ends[-1], end)
+            else:
+                self.starts.append(start)
+                self.ends.append(end)
+
+    def overlaps(self, start: int, end: int) -> bool:
+        k = bisect.bisect_left(self.starts, end) - 1
+        return k >= 0 and self.ends[k] > start
+
+    def add(self, start: int, end: int) -> None:
+        k = bisect.bisect_left(self.starts, start)
+        self.starts.insert(k, start)
+        self.ends.insert(k, end)
+
+
+def features(text: str, span: tuple[str, int, int], base: Taken) -> list[float]:
     kind, start, end = span
     s, before, after = text[start:end], text[max(0, start - CONTEXT) : start].lower(), text[end : end + CONTEXT]
     digits = _digits(s)
@@ -159,10 +204,14 @@ def features(text: str, span: tuple[str, int, int], base: list[tuple[str, int, i
         float(any(w in before for k in KEYWORDS for w in KEYWORDS[k])),
         float(before[-1:].isalnum() or before[-1:] in ("-", ".", "/", ":") and before[-2:-1].isalnum()),
         float(after[:1].isalnum() or after[:1] in ("-", ".", "/", ":") and after[1:2].isalnum()),
-        float(any(b < end and start < e for _, b, e in base)),
+        float(base.overlaps(start, end)),
         float(any(c.isdigit() for c in before[-2:])),
         float(any(c.isdigit() for c in after[:2])),
         sum(c.isdigit() for c in before + after),
+        float(kind == "name" and s.split(" ")[0] in GIVEN),
+        float(kind == "name" and s.split(" ")[0].rstrip(".") in TITLES),
+        float(not before.strip() or before.rstrip()[-1:] in ".!?:"),
+        float(kind in ("name", "address") and after.lstrip()[:1].isupper()),
     ]
 
 
@@ -175,6 +224,7 @@ def labelled_texts(n: int = TRAINING_TEXTS, seed: int = 11) -> Iterator[tuple[st
     word = lambda: "".join(pick(syllables) for _ in range(rng.integers(1, 4)))
     cap = lambda: word().capitalize()
     words = lambda k: " ".join(word() for _ in range(k))
+    given = sorted(GIVEN)
 
     def iban(ok: bool) -> str:
         body = pick(("DE", "FR", "ES", "GB")), num(18)
@@ -193,7 +243,8 @@ def labelled_texts(n: int = TRAINING_TEXTS, seed: int = 11) -> Iterator[tuple[st
         "iban": lambda: iban(True),
         "birthdate": lambda: date(1930, 2012),
         "mac": lambda: pick((":", "-")).join(f"{x:02x}" for x in rng.integers(0, 256, 6)),
-        "name": lambda: f"{pick(('Mr', 'Mrs', 'Dr', 'Ms', 'Prof'))}. {cap()} {cap()}",
+        "name": lambda: pick((f"{pick(('Mr', 'Mrs', 'Dr', 'Ms', 'Prof'))}. {cap()} {cap()}", f"{pick(('Mr', 'Mrs', 'Ms'))} {cap()}", f"{pick(given)} {cap()}", f"{pick(given)} {pick('ABCDEFGH')}. {cap()}")),
+        "address": lambda: pick((f"{num(2)} {cap()} {pick(_ROADS.split('|'))}", f"1{num(3)} {cap()} {cap()} {pick(_ROADS.split('|'))}", f"{cap()}straße {num(2)}", f"{num(2)} rue de {cap()}", f"calle {cap()} {num(2)}")),
     }
     false = (
         lambda: f"{words(2)} at {word()} {word()} dot {word()}",
@@ -210,6 +261,11 @@ def labelled_texts(n: int = TRAINING_TEXTS, seed: int = 11) -> Iterator[tuple[st
         lambda: "".join(f"{x:02x}" for x in rng.integers(0, 256, 20)),
         lambda: f"Dr. {word()} the Mr {word()}",
         lambda: f"{num(3)} | {num(4)} | {num(3)}",
+        lambda: f"{cap()} {cap()}",
+        lambda: f"{word()}. {cap()} {cap()} {word()}",
+        lambda: f"{cap()} {cap()} {cap()}",
+        lambda: f"{num(2)} {cap()} {word()}",
+        lambda: f"{num(2)} {cap()} {cap()}",
         lambda: f"{num(3)}, {num(3)}, {num(4)}",
         lambda: f"{word()}.{num(2)}@mail{num(1)}.example.com",
     )
@@ -253,38 +309,44 @@ def labelled_hosts(n: int = TRAINING_TEXTS, seed: int = 12) -> Iterator[tuple[st
 
 @functools.cache
 def model() -> tuple[boosting.Boosted, dict[str, float]]:
-    """The trees and each kind's threshold, from generated texts: two thirds to learn from, the rest to calibrate."""
+    """The trees and each kind's threshold, from generated texts; ``fitted`` takes others."""
+    return fitted(itertools.chain(labelled_texts(), labelled_hosts()))
+
+
+def fitted(labelled: Iterable[tuple[str, list[tuple[str, int, int]]]]) -> tuple[boosting.Boosted, dict[str, float]]:
+    """The trees and each kind's threshold, from texts and their spans of the added kinds: four sixths to learn from, one to calibrate, one for the thresholds."""
     rows, labels, held, kinds = [], [], [], []
-    for i, (text, spans) in enumerate(itertools.chain(labelled_texts(), labelled_hosts())):
-        base = base_spans(text)
+    for i, (text, spans) in enumerate(labelled):
+        base = Taken(base_spans(text))
         for c in candidates(text):
             rows.append(features(text, c, base))
             labels.append(c in spans)
-            held.append(i % 3 == 0)
+            held.append(i % 6)
             kinds.append(c[0])
     x, y, out, kind = np.array(rows, float), np.array(labels, float), np.array(held), np.array(kinds)
-    trees = boosting.fit(x[~out], y[~out])
-    boosting.calibrate(trees, x[out], y[out])
-    of = {k: out & (kind == k) for k in ADDED}
-    return trees, {k: max(0.5, boosting.threshold(trees.probability(x[o]), y[o], PRECISION)) for k, o in of.items()}
+    trees = boosting.fit(x[out > 1], y[out > 1], trees=60, depth=4)
+    boosting.calibrate(trees, x[out == 0], y[out == 0])
+    of = {k: (out == 1) & (kind == k) for k in ADDED}
+    return trees, {k: max(0.5, boosting.threshold(trees.probability(x[o]), y[o], PRECISION)) if o.any() else 1.0 for k, o in of.items()}
 
 
 def found_spans(rows: list[str], trees: boosting.Boosted, least: dict[str, float]) -> list[tuple[list, list]]:
     """For each text: its base spans, and all spans including the added ones, both in order."""
     base = [base_spans(t) for t in rows]
     proposed = [(i, c) for i, t in enumerate(rows) for c in candidates(t)]
-    every = [list(b) for b in base]
+    every, taken = [list(b) for b in base], [Taken(b) for b in base]
     if proposed:
-        p = trees.probability(np.array([features(rows[i], c, base[i]) for i, c in proposed], float))
+        p = trees.probability(np.array([features(rows[i], c, taken[i]) for i, c in proposed], float))
         for k in np.argsort(-p, kind="stable"):
             i, (kind, start, end) = proposed[k]
-            if p[k] >= least[kind] and not any(b < end and start < e for _, b, e in every[i]):
+            if p[k] >= least[kind] and not taken[i].overlaps(start, end):
                 every[i].append((kind, start, end))
+                taken[i].add(start, end)
     return [(b, in_order(e)) for b, e in zip(base, every, strict=True)]
 
 
-_TRIGGER = re.compile(rb"[0-9@]|(?<![0-9A-Za-z_])at(?![0-9A-Za-z_])")
-_TITLES = (b"Mr", b"Ms", b"Dr", b"Prof", b"Herr", b"Frau", b"Mme", b"Sr")
+_TRIGGER = re.compile(rb"[0-9@]|(?<![0-9A-Za-z_])at(?![0-9A-Za-z_])|[A-Z\xc3][A-Za-z\x80-\xff]+ (?:[A-Z]\. )?(?:(?:de|da|von|van|der|la|di) ){0,2}[A-Z\xc3]")
+_TITLES = tuple(t.encode() for t in TITLES)
 
 
 def _may_hold(text: bytes) -> bool:
@@ -307,15 +369,17 @@ def joined(spans: list[tuple[str, int, int]]) -> str:
 def scan(docs: DataFrame) -> DataFrame:
     """(doc_id, base, spans): the spans of every row of ``docs`` as ``kind:start:end`` lists.
 
-    Null and empty texts have none. Rows are independent: repeated rows and null ids keep a row each.
-    An empty table gives an empty result.
+    Null and empty texts have none; very long ones are scanned whole, a slice of a batch each. Of candidates that overlap, the likelier is taken, of equally
+    likely ones the first proposed. Rows are independent: repeated rows and null ids keep a row each.
+    Only doc_id and text are read, so other columns may have any name. An empty table gives an empty result.
     """
     trees, least = model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = _spans(texts(batch.column(1)), trees, least)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(e) for _, e in found], pa.string())], ["doc_id", "base", "spans"])
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                found = _spans(texts(part.column(1)), trees, least)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([joined(b) for b, _ in found], pa.string()), pa.array([joined(e) for _, e in found], pa.string())], ["doc_id", "base", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, base string, spans string")
 
@@ -331,27 +395,34 @@ def masked(text: str, spans: list[tuple[str, int, int]]) -> str:
 
 
 def redacted(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` redacted and ``n_chars`` to match; null texts stay null, other columns as they are."""
+    """``docs`` with ``text`` redacted, and ``n_chars``, if it is there, to match; other columns as they are, whatever their names.
+
+    Null texts stay null, empty ones empty; very long ones are scanned whole. Overlapping spans become one, of the first kind. Repeated rows and null ids
+    keep a row each. An empty table gives an empty result.
+    """
     trees, least = model()
     at = docs.columns.index("text")
-    size = docs.columns.index("n_chars")
+    size = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column(at)
-            found = _spans(texts(column), trees, least)
-            cells = column.to_pylist()
-            fresh = [masked(c, e) if e else c for c, (_, e) in zip(cells, found, strict=True)]
-            sizes = [len(f) if e else n for f, n, (_, e) in zip(fresh, batch.column(size).to_pylist(), found, strict=True)]
-            columns = list(batch.columns)
-            columns[at] = pa.array(fresh, column.type)
-            columns[size] = pa.array(sizes, batch.column(size).type)
-            yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+            for part in byte_slices(batch, "text", SLICE_BYTES):
+                column = part.column(at)
+                found = _spans(texts(column), trees, least)
+                cells = column.to_pylist()
+                fresh = [masked(c, e) if e else c for c, (_, e) in zip(cells, found, strict=True)]
+                columns = list(part.columns)
+                columns[at] = pa.array(fresh, column.type)
+                if size is not None:
+                    sizes = [len(f) if e else n for f, n, (_, e) in zip(fresh, part.column(size).to_pylist(), found, strict=True)]
+                    columns[size] = pa.array(sizes, part.column(size).type)
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names)
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The personal data in every text of ``documents``; see ``scan`` for nulls, empty and very long texts, ties and repeated rows."""
     found = scan(documents(spark, sf_dir, "doc_id", "text"))
     counts = [F.regexp_count("base", F.lit(f"{k}:")).cast("long").alias(f"n_{k}") for k in BASE]
     return found.select("doc_id", *counts, F.sha2("base", 256).alias("base_sha256"), "spans")

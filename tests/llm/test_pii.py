@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 
 import numpy as np
 
@@ -84,3 +85,51 @@ def test_plain_hosts_whatever_else_the_text_holds():
     found = pii.found_spans([t for t, _ in held], trees, least)
     taken, real = {(i, s) for i, (_, e) in enumerate(found) for s in e}, {(i, s) for i, (_, x) in enumerate(held) for s in x}
     assert len(taken & real) > 0.95 * max(len(taken), len(real))
+
+
+# Written by hand, not by the generator: (text, the spans in it as (kind, text)).
+BY_HAND = [
+    ("My name is Anna Lopez and I work here.", [("name", "Anna Lopez")]), ("contact John Smith for more", [("name", "John Smith")]), ("Dear Mr Brown, thank you", [("name", "Mr Brown")]), ("signed by Dr. Maria Schneider", [("name", "Dr. Maria Schneider")]),
+    ("she lives at 42 Maple Street in town", [("address", "42 Maple Street")]), ("address: 1600 Old Mill Road", [("address", "1600 Old Mill Road")]), ("er wohnt in der Lindenstraße 12 dort", [("address", "Lindenstraße 12")]), ("ship to 12 rue de Rivoli please", [("address", "12 rue de Rivoli")]),
+    ("ssn 123-45-6789 on file", [("ssn", "123-45-6789")]), ("born 1975-03-12 in the city", [("birthdate", "1975-03-12")]), ("iban DE89 3704 0044 0532 0130 00 now", [("iban", "DE89 3704 0044 0532 0130 00")]), ("device mac 00:1a:2b:3c:4d:5e seen", [("mac", "00:1a:2b:3c:4d:5e")]),
+    ("call (212) 555-0187 today", [("local_phone", "(212) 555-0187")]), ("mail jane.doe [at] example [dot] com please", [("masked_email", "jane.doe [at] example [dot] com")]),
+    ("The New Edition of the book was out.", []), ("released 2019-04-01 with version 1.12.2019", []), ("see page 123 45 6789 and table 4", []), ("We met at home. Then Big Data came.", []), ("commit 00:1a at line 42 Green", []), ("In 1984 George was there", []), ("Chapter Two begins here", []),
+]
+
+
+def test_spans_written_by_hand():
+    trees, least = pii.model()
+    got = [e for _, e in pii._spans([t.encode() for t, _ in BY_HAND], trees, least)]
+    taken = {(i, k, BY_HAND[i][0][s:e]) for i, x in enumerate(got) for k, s, e in x}
+    real = {(i, k, t) for i, (_, x) in enumerate(BY_HAND) for k, t in x}
+    print("found", len(taken & real), "of", len(real), "missed", sorted(real - taken), "wrong", sorted(taken - real))
+    assert len(taken & real) >= 0.85 * len(real) and len(taken - real) <= 2
+
+
+def test_many_spans_take_linear_time():
+    trees, least = pii.model()
+    text = "born 1975-03-12 and mail a@b.cd, " * 8_000
+    began = time.process_time()
+    assert len(pii.found_spans([text], trees, least)[0][1]) >= 8_000
+    assert time.process_time() - began < 20
+
+
+def test_redacted_without_a_size_column(spark):
+    df = spark.createDataFrame([(1, "a@b.cd", "x"), (2, None, None), (None, "", "y")], "doc_id long, text string, spans string")
+    assert [(r.doc_id, r.text, r.spans) for r in pii.redacted(df).collect()] == [(1, "[EMAIL]", "x"), (2, None, None), (None, "", "y")]
+    assert pii.redacted(df.limit(0)).collect() == []
+
+
+def test_added_spans_of_the_table(spark):
+    """The query's spans are those of the plain scan of each text: every base one, and added ones that overlap none."""
+    sf = "/root/testdata/sf0.001"
+    trees, least = pii.model()
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    for r in pii.op10_pii(spark, sf).collect():
+        text, base = texts[r.doc_id], plain(texts[r.doc_id])
+        scored = [(c, trees.probability(np.array([pii.features(text, c, pii.Taken(base))], float))[0]) for c in pii.candidates(text)]
+        want = list(base)
+        for (kind, start, end), p in sorted(scored, key=lambda x: -x[1]):
+            if p >= least[kind] and all(e <= start or end <= s for _, s, e in want):
+                want.append((kind, start, end))
+        assert r.spans == pii.joined(pii.in_order(want))
