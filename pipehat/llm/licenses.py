@@ -1,9 +1,10 @@
 """License scans: TF-IDF cosine to templates, then inheritance from the nearest directory above.
 
-Lines and licence blocks (adjacent lines that may match) and whole files are compared with
-the templates as sparse TF-IDF vectors. Most lines never get that far: of each template, enough of its
-weightiest words are anchors that a line without any of them can't reach the threshold (by the
-Cauchy-Schwarz inequality), and anchors are found among the hashed words of the whole text.
+What is compared with the templates, as sparse TF-IDF vectors, are all lines, licence blocks (whole runs of adjacent lines that hold an anchor), whole texts,
+and of every template all windows of as many words as it has, wherever they begin: prose around a notice, or a sentence in the middle of a line, does not dilute it.
+Few of them are weighed word by word. The product of a stretch with a template is a sum over its places, and its length is at
+least that of a text in which no word repeats; so differences of running sums bound the cosine of any stretch from above, for a whole batch at
+once, and only stretches whose bound reaches the threshold are weighed. Anchors are enough of a template's weightiest words that a line without any can't reach it.
 
 A directory's licence is the one that its licence files, or else most of its files' headers name. Files
 without a licence of their own get that of the nearest directory at or above their own; that is a join
@@ -28,10 +29,11 @@ from .common import byte_slices, documents, text_bytes, written
 from .words import word_hashes, words
 
 COSINE = 0.7
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 2 << 20
 FILE_NAMES = r"(?i)^(licen[cs]e|copying|notice)(\..*)?$"
 #: A licence file says more about its directory than any number of headers.
 FILE_VOTE = 1 << 40
+SALTS = 16
 
 # What headers and licence files say.
 TEMPLATES = (
@@ -59,6 +61,8 @@ TEMPLATES = (
     ("MIT", "Licensed under the MIT License."),
     ("MIT", "SPDX-License-Identifier: MIT"),
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software'),
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
@@ -71,6 +75,10 @@ class Model:
     idf: dict[int, float]
     rare: float
     anchors: np.ndarray
+    known: np.ndarray  # the sorted words of all templates
+    squares: np.ndarray  # the squared weight of one place that holds each of them, and of an unknown word
+    shares: np.ndarray  # of each template, what one place that holds each of them adds to the product
+    sizes: tuple[int, ...]  # the words of each template
 
 
 @functools.cache
@@ -90,7 +98,10 @@ def model(templates: tuple[tuple[str, str], ...] = TEMPLATES, cosine: float = CO
                 break
             anchors.add(w)
             left -= v[w] ** 2
-    return Model(tuple(k for k, _ in templates), tuple(vectors), idf, math.log(1 + n) + 1, np.array(sorted(anchors), np.uint64))
+    rare, known = math.log(1 + n) + 1, sorted(idf)
+    weights = np.array([*(idf[w] for w in known), rare])
+    shares = np.array([[v.get(w, 0.0) for w in [*known, None]] for v in vectors]) * weights
+    return Model(tuple(k for k, _ in templates), tuple(vectors), idf, rare, np.array(sorted(anchors), np.uint64), np.array(known, np.uint64), weights**2, shares, tuple(sum(c.values()) for c in counts))
 
 
 def best(m: Model, hashes: np.ndarray) -> tuple[float, str]:
@@ -102,36 +113,48 @@ def best(m: Model, hashes: np.ndarray) -> tuple[float, str]:
     return max(((score(v), name) for v, name in zip(m.vectors, m.names, strict=True)), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
 
 
-_LINE = re.compile(rb"[^\n]*")
-
-
 def matches(m: Model, data: np.ndarray, offsets: np.ndarray, cosine: float = COSINE) -> list[tuple[float, str | None, float, str | None]]:
-    """For each text: the best licence among its lines and blocks, and that of the whole text; null below ``cosine``."""
+    """For each text: the best licence among its lines, blocks and windows, and that of the whole text; null below ``cosine``."""
     own = words(data, offsets)
-    at = np.minimum(np.searchsorted(m.anchors, own.hashes), len(m.anchors) - 1)
-    hits = np.flatnonzero(m.anchors[at] == own.hashes)
-    out: list[tuple[float, str | None, float, str | None]] = [(0.0, None, 0.0, None)] * (len(offsets) - 1)
-    if not len(hits):
-        return out
-    breaks = np.flatnonzero(data == 10)
-    row = np.searchsorted(own.rows, hits, "right") - 1
-    line = np.searchsorted(breaks, own.starts[hits])
-    for r in np.unique(row):
-        first, last = own.rows[r], own.rows[r + 1]
-        lines = np.unique(line[row == r])
-        groups = np.split(lines, np.flatnonzero(np.diff(lines) > 1) + 1)
-        units = [(g[0], g[-1]) for g in groups if len(g) > 1] + [(k, k) for k in lines]
-        top = (0.0, None)
-        for a, b in units:
-            begin = offsets[r] if a == 0 else max(offsets[r], breaks[a - 1])
-            end = offsets[r + 1] if b == len(breaks) else min(offsets[r + 1], breaks[b])
-            lo, hi = np.searchsorted(own.starts, (begin, end))
-            score, name = best(m, own.hashes[max(lo, first) : min(hi, last)])
-            if score >= cosine and (score, ) > (top[0], ) or score == top[0] and top[1] and name < top[1]:
-                top = (score, name)
-        whole = best(m, own.hashes[first:last])
-        out[r] = (*top, *(whole if whole[0] >= cosine else (0.0, None)))
-    return out
+    n_rows, n = len(offsets) - 1, len(own.hashes)
+    tops: list[tuple[float, str | None]] = [(0.0, None)] * n_rows
+    wholes = list(tops)
+    if not n:
+        return [(0.0, None, 0.0, None)] * n_rows
+    at = np.minimum(np.searchsorted(m.known, own.hashes), len(m.known) - 1)
+    code = np.where(m.known[at] == own.hashes, at, len(m.known))
+    row = np.repeat(np.arange(n_rows), np.diff(own.rows))
+    # lines: stretches of words between line ends, within a text; blocks: runs of adjacent lines with an anchor
+    line = np.searchsorted(np.flatnonzero(data == 10), own.starts)
+    heads = np.flatnonzero(np.concatenate([[True], (line[1:] != line[:-1]) | (row[1:] != row[:-1])]))
+    tails = np.concatenate([heads[1:], [n]])
+    place = np.minimum(np.searchsorted(m.anchors, own.hashes), len(m.anchors) - 1)
+    anchored = np.logical_or.reduceat(m.anchors[place] == own.hashes, heads)
+    heads, tails = heads[anchored], tails[anchored]
+    follows = (line[heads[1:]] == line[heads[:-1]] + 1) & (row[heads[1:]] == row[heads[:-1]])
+    first = np.flatnonzero(np.concatenate([[True], ~follows])) if len(heads) else np.empty(0, np.int64)
+    last = np.concatenate([first[1:], [len(heads)]]) - 1 if len(heads) else first
+    filled = np.flatnonzero(np.diff(own.rows))
+    units = np.stack([np.concatenate([heads, heads[first], own.rows[filled]]), np.concatenate([tails, tails[last], own.rows[filled + 1]])])
+    is_whole = np.arange(units.shape[1]) >= units.shape[1] - len(filled)
+    squares = np.concatenate([[0.0], np.cumsum(m.squares[code])])
+    least = (cosine - 1e-6) * np.sqrt(squares[units[1]] - squares[units[0]])
+    worth = np.zeros(units.shape[1], bool)
+    windows = []
+    for share, size in zip(m.shares, m.sizes, strict=True):
+        total = np.concatenate([[0.0], np.cumsum(share[code])])
+        worth |= total[units[1]] - total[units[0]] >= least
+        if size <= n:
+            begin = np.flatnonzero(total[size:] - total[:-size] >= (cosine - 1e-6) * np.sqrt(squares[size:] - squares[:-size]))
+            windows.append(np.stack([begin, begin + size])[:, row[begin] == row[begin + size - 1]])
+    better = lambda new, old: new[0] >= cosine and (new[0] > old[0] or new[0] == old[0] and (old[1] is None or new[1] < old[1]))
+    inner = np.unique(np.concatenate([units[:, worth & ~is_whole], *windows], axis=1), axis=1)
+    for places, into in ((inner, tops), (units[:, worth & is_whole], wholes)):
+        for a, b in places.T.tolist():
+            score = best(m, own.hashes[a:b])
+            if better(score, into[row[a]]):
+                into[row[a]] = score
+    return [(*t, *w) for t, w in zip(tops, wholes, strict=True)]
 
 
 def own_licenses(files: DataFrame) -> DataFrame:
@@ -156,9 +179,10 @@ def licensed(files: DataFrame) -> DataFrame:
     """(doc_id, path, own_license, own_score, license, declared_in) for every row of ``files`` (doc_id, path, text).
 
     ``license`` is the file's own or that of the nearest directory at or above its own that has one;
-    ``declared_in`` is that directory, null for a file's own. Of equally many headers, the first name
+    ``declared_in`` is that directory, null for a file's own. Of equally many headers, and of equal cosines, the first name
     counts. Null and empty texts have no licence of their own; a null path lies in the root ''. Repeated
-    rows each count and each get a row. An empty table gives an empty result.
+    rows each count and each get a row. Very long texts are scanned whole, a slice of a batch each. Only doc_id, path and text are read, so other
+    columns may have any name. An empty table gives an empty result.
     """
     directory = F.coalesce(F.regexp_extract("path", "^(.*)/[^/]*$", 1), F.lit(""))
     rows = written(own_licenses(files).withColumn("directory", directory), "own")
@@ -172,7 +196,10 @@ def licensed(files: DataFrame) -> DataFrame:
     nearest = asked.select("directory", F.explode(F.array_distinct(above)).alias("step")).join(declared, F.col("step") == F.col("above"))
     nearest = nearest.groupBy("directory").agg(F.max(F.struct(F.length("above"), "above", "name")).alias("last"))
     nearest = nearest.select(F.col("directory").alias("own_directory"), F.col("last.above").alias("near"), F.col("last.name").alias("near_name"))
-    out = rows.join(nearest, F.col("own_license").isNull() & (F.col("directory") == F.col("own_directory")), "left")
+    # a directory may hold most rows: they are dealt over SALTS keys, and the few directories with an answer go to each
+    salted = nearest.withColumn("own_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64("doc_id", "path"), F.lit(SALTS)).cast("int"))
+    out = rows.join(salted, F.col("own_license").isNull() & (F.col("directory") == F.col("own_directory")) & (F.col("salt") == F.col("own_salt")), "left")
     return out.select("doc_id", "path", "own_license", "own_score", F.coalesce("own_license", "near_name").alias("license"), F.col("near").alias("declared_in"))
 
 
@@ -184,5 +211,6 @@ def document_path():
 
 
 def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licence of every document; see ``licensed`` for nulls, empty and very long texts, ties and repeated rows."""
     docs = documents(spark, sf_dir, "doc_id", "text", "source", "lang")
     return licensed(docs.select("doc_id", document_path().alias("path"), "text"))

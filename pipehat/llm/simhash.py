@@ -219,7 +219,8 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) ->
     Texts whose fingerprints differ in two bits or fewer are linked; ``component_id`` is the smallest
     doc_id reachable over links. Null and empty texts have fingerprint 0 and are linked like others.
     Repeated rows keep one result row each; a null doc_id gets its component, and is the id of none
-    (a component of null ids only has a null id). An empty table gives an empty result.
+    (a component of null ids only has a null id). Very long texts vote shingle by shingle, whole; ties are to the smallest id, and a bit that half
+    of the shingles set is 0. Other columns are not read. An empty table gives an empty result.
     """
     fps = written(fingerprints(docs, words_per_shingle), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct")
@@ -231,5 +232,6 @@ def near_duplicates(docs: DataFrame, words_per_shingle: int = SHINGLE_WORDS) ->
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and group of every document; see ``near_duplicates`` for nulls, empty and very long texts, ties and repeated rows."""
     found = near_duplicates(documents(spark, sf_dir, "doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -24,9 +24,27 @@ def plain_best(text):
 
 
 def plain_own(text):
-    lines = (text or "").split("\n")
-    units = [*lines, text or ""] + ["\n".join(lines[a:b]) for a in range(len(lines)) for b in range(a + 2, min(len(lines), a + 5) + 1)]
-    score, name = max((plain_best(u) for u in units), key=lambda x: x[0])
+    lines, m = (text or "").split("\n"), licenses.model()
+    anchored = [bool({int(x) for x in licenses.word_hashes(li.encode())} & {int(x) for x in m.anchors}) for li in lines]
+    units, k = [*lines, text or ""], 0
+    while k < len(lines):
+        stop = k
+        while stop < len(lines) and anchored[stop]:
+            stop += 1
+        units.append("\n".join(lines[k:stop]))
+        k = max(stop, k + 1)
+    own = tokens(text or "")
+    # of the windows, those that share words enough to reach the threshold: three of ten, by count
+    for _, t in licenses.TEMPLATES:
+        goal = set(tokens(t))
+        size = len(tokens(t))
+        inside = [w in goal for w in own]
+        total = sum(inside[:size])
+        for a in range(len(own) - size + 1):
+            if total >= 0.3 * size:
+                units.append(" ".join(own[a : a + size]))
+            total += (a + size < len(own) and inside[a + size]) - inside[a]
+    score, name = max((plain_best(u) for u in units), key=lambda x: round(x[0], 9))
     return name if score >= licenses.COSINE else None
 
 
@@ -48,8 +66,9 @@ def test_gate_loses_nothing():
     data = "".join(lines).encode()
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in lines])])
     got = licenses.matches(m, np.frombuffer(data, np.uint8), offsets)
-    for text, (score, name, _, _) in zip(lines, got, strict=True):
+    for text, (part, _, score, name) in zip(lines, got, strict=True):
         want, _ = plain_best(text)
+        assert part >= score - 1e-9
         assert (name is not None) == (want >= licenses.COSINE) or abs(want - licenses.COSINE) < 1e-6, text
         assert name is None or abs(score - want) < 1e-6
 
@@ -61,6 +80,39 @@ def test_own_licenses(spark):
     assert got[6] == "GPL-3.0" and got[9] is None
 
 
+def test_notices_among_prose():
+    notice = TEXTS[6].split("\n")[1:4]
+    flowing = " ".join(notice).split(" ")
+    wrapped = [" ".join(flowing[k : k + 7]) for k in range(0, len(flowing), 7)]
+    prose = "the people of the town went to the market for the week and it was the end of it"
+    texts = ["\n".join([prose] * 3 + wrapped + [prose] * 3), f"{prose} {TEXTS[8]} {prose}", f"{prose} Licensed under CC BY 4.0. {prose}", prose]
+    data = "".join(texts).encode()
+    offsets = np.concatenate([[0], np.cumsum([len(x) for x in texts])])
+    got = licenses.matches(licenses.model(), np.frombuffer(data, np.uint8), offsets)
+    assert [name for _, name, _, _ in got] == ["GPL-3.0", "GPL-2.0", "CC-BY-4.0", None]
+
+
+def test_whole_licence_texts():
+    for name, t in licenses.TEMPLATES:
+        data = f"Copyright (c) 2020 by them\n\n{t}\n".encode()
+        (_, part, score, whole), = licenses.matches(licenses.model(), np.frombuffer(data, np.uint8), np.array([0, len(data)]))
+        assert part == name and (len(tokens(t)) < 100 or whole == name), (t, part, whole)
+
+
+def test_table_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: r.own_license for r in licenses.op6_licenses(spark, sf).collect()}
+    assert got == {i: plain_own(t) for i, t in texts.items()}
+
+
+def test_very_long_text_and_clashing_columns(spark):
+    long = "plain words of a text\n" * 60_000 + "Released under the MIT License.\n" + "more " * 90_000
+    rows = [(1, "a/b/x.txt", long, "own", "dir"), (2, "a/b/y.txt", "words", "own", "dir"), (3, None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, path string, text string, own_license string, directory string")
+    assert {r.doc_id: (r.license, r.declared_in) for r in licenses.licensed(df).collect()} == {1: ("MIT", None), 2: ("MIT", "a/b"), 3: (None, None)}
+
+
 def test_inheritance(spark):
     mit, apache, plain = TEXTS[0], f"some other words here\n{TEXTS[2]}\nand many others", "words"
     rows = [
