@@ -74,8 +74,8 @@ def descended(nodes: Column, over: Column, hop: Hop, d: Column, per_parent: bool
     return chosen(F.filter(children(nodes, over), is_named), hop, d, lambda n: n["text"])
 
 
-def hierarchy_values(nodes: Column, path: Path, d: Column, per_parent: bool = False) -> tuple[Column, Column]:
-    """Values and error of a path with arrows over the ``placed`` segments."""
+def reached(nodes: Column, path: Path, d: Column, per_parent: bool = False) -> tuple[Column, Column]:
+    """The ``placed`` segments that the last step of a path with arrows selects, and the error if a filter can't be judged."""
     first = path.first
     # the index of the first hop counts over all segments of its name, inside the tree or not
     whole = F.filter(nodes, lambda n: F.startswith(n["text"], F.lit(first.name)))
@@ -85,4 +85,10 @@ def hierarchy_values(nodes: Column, path: Path, d: Column, per_parent: bool = Fa
         over, wrong = descended(nodes, over, hop, d, per_parent)
         if isinstance(hop.index, Filter):
             error = F.coalesce(error, wrong)
+    return over, error
+
+
+def hierarchy_values(nodes: Column, path: Path, d: Column, per_parent: bool = False) -> tuple[Column, Column]:
+    """Values and error of a path with arrows over the ``placed`` segments."""
+    over, error = reached(nodes, path, d, per_parent)
     return values_of(F.transform(over, lambda n: n["text"]), path.last, d), error

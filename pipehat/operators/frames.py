@@ -138,17 +138,29 @@ def values_long(messages: DataFrame, paths: dict[str, str], id_column: str = "me
     return rows.select(id_column, "path", "occurrence", (F.col("r") + 1).alias("repetition"), "value")
 
 
-def located_values(messages: DataFrame, path: str, id_column: str = "message_id", **options) -> DataFrame:
-    """(id, line_number, occurrence, repetition, value) of a path without arrows: values with their segment's line, from 1."""
-    plan = parse(path)
-    if plan.has_child:
-        raise PathError("TrailingInput", path, path.index(" -> "))
+def located_values(
+    messages: DataFrame, path: str, id_column: str = "message_id", *, profile: Profile | None = None, build_hierarchy: bool = True, hops: str = "reject", child_index: str = "legacy", **options
+) -> DataFrame:
+    """(id, line_number, occurrence, repetition, value): values with their segment's line, from 1.
+
+    Paths with arrows need a profile, and have no rows without one or without ``build_hierarchy``; ``hops`` and ``child_index`` as in ``query``.
+    """
+    plan = parse(path, hops)
     rows = _scanned(messages, **options)
     d = own_signs()
-    entries = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e: F.startswith(e["text"], F.lit(plan.first.name)))
-    rows = held(rows, {"__entries": entries})
-    found, error = extract.chosen(F.col("__entries"), plan.first, d, lambda e: e["text"])
-    found = F.transform(found, lambda e: F.struct(e["line"].alias("line"), extract.segment_values(e["text"], plan.first.name, plan.last.field, d).alias("v")))
+    if plan.has_child:
+        if profile is None or not build_hierarchy or (len(plan.hops) > 2 and hops != "chain"):
+            rows = rows.where("false")
+        rows = held(rows, {"__parents": hierarchy.parents(F.col("segments"), profile or Profile({}))})
+        rows = held(rows, {"__entries": hierarchy.placed(F.col("segments"), F.col("__parents"))})
+        found, error = hierarchy.reached(F.col("__entries"), plan, d, child_index == "per_parent")
+        line = lambda e: e["index"] + 1
+    else:
+        entries = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e: F.startswith(e["text"], F.lit(plan.first.name)))
+        rows = held(rows, {"__entries": entries})
+        found, error = extract.chosen(F.col("__entries"), plan.first, d, lambda e: e["text"])
+        line = lambda e: e["line"]
+    found = F.transform(found, lambda e: F.struct(line(e).alias("line"), extract.segment_values(e["text"], plan.last.name, plan.last.field, d).alias("v")))
     rows = rows.where(error.isNull()).select(id_column, F.filter(found, lambda e: F.size(e["v"]) > 0).alias("f"))
     rows = rows.select(id_column, F.posexplode("f").alias("o", "e"))
     return rows.select(id_column, F.col("e.line").alias("line_number"), (F.col("o") + 1).alias("occurrence"), F.posexplode("e.v").alias("r", "value")).select(

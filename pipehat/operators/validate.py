@@ -46,14 +46,20 @@ def _rows(df: DataFrame, id_column: str, entries: Column) -> DataFrame:
 
 def scan_errors(messages: DataFrame, id_column: str = "message_id", message: str = "message") -> DataFrame:
     """An INVALID_MESSAGE row for each message that doesn't scan."""
-    rows = _scanned(messages, message=message).where("scan_error is not null")
+    return _rows(_scanned(messages, message=message).where("scan_error is not null"), id_column, _scan_entries())
+
+
+def _scan_entries() -> Column:
     line = F.coalesce(F.col("scan_error.segment_index") + 1, F.lit(1))
-    return _rows(rows, id_column, F.array(_entry(line, F.lit("MSH"), "INVALID_MESSAGE", scans.scan_error_text(F.col("scan_error")))))
+    return F.array(_entry(line, F.lit("MSH"), "INVALID_MESSAGE", scans.scan_error_text(F.col("scan_error"))).cast(ENTRY))
 
 
 def segment_cardinality(messages: DataFrame, profile: Profile, id_column: str = "message_id") -> DataFrame:
     """Segments that a profile wants more or less often, counted over the whole message, and those it doesn't know."""
-    rows = _scanned(messages).where("segments is not null")
+    return _rows(_scanned(messages).where("segments is not null"), id_column, _cardinality_entries(profile))
+
+
+def _cardinality_entries(profile: Profile) -> Column:
     entries = []
     for name, (least, most) in profile.counts.items():
         n = F.size(extract.named(F.col("segments"), name))
@@ -65,7 +71,7 @@ def segment_cardinality(messages: DataFrame, profile: Profile, id_column: str =
         F.filter(F.transform("segments", lambda s, i: F.struct(i.alias("i"), F.substring(s, 1, 3).alias("name"))), lambda e: ~e["name"].isin(known)),
         lambda e: _entry(e["i"] + 1, e["name"], "INVALID_SEGMENT", F.concat(F.lit("segment "), e["name"], F.lit(" is not part of the profile")), WARNING),
     )
-    return _rows(rows, id_column, F.concat(F.array(*entries).cast(f"array<{ENTRY}>"), strange.cast(f"array<{ENTRY}>")))
+    return F.concat(F.array(*entries).cast(f"array<{ENTRY}>"), strange.cast(f"array<{ENTRY}>"))
 
 
 def check_segment_cardinality(messages: DataFrame, name: str, text: str, id_column: str = "message_id") -> DataFrame:
@@ -75,56 +81,94 @@ def check_segment_cardinality(messages: DataFrame, name: str, text: str, id_colu
     return found.where("category = 'INVALID_CARDINALITY'")
 
 
-def _field_entries(rule: FieldRule, s: Column, d: Column, condition: Column | None) -> list[Column]:
-    """What may be wrong with one field of a segment struct <line, occurrence, text>; null where nothing is."""
-    text = extract.field_text(s["text"], rule.segment, rule.number, d)
-    path = F.concat(F.lit(f"{rule.segment}["), s["occurrence"].cast("string"), F.lit(f"]-{rule.number}"))
-    # the column at which the field starts: what comes before it and the delimiter
-    before = F.array_join(F.slice(extract.split_on(s["text"], d["field"]), F.lit(1), F.lit(rule.number - (rule.segment == "MSH") or 1)), "|")
-    begin = F.length(before) + 2 if rule.number > (rule.segment == "MSH") else F.lit(1)
-    entry = lambda category, said, kind=ERROR: _entry(s["line"], path, category, said if isinstance(said, Column) else F.lit(said), kind, begin, F.length(text))
-    label = f"{rule.segment}-{rule.number} {rule.name}".strip()
-    empty = text == ""
-    out = []
-    if rule.usage == "R":
-        out.append(F.when(empty, entry("INVALID_USAGE", f"{label} is required")))
-    elif rule.usage == "RE":
-        out.append(F.when(empty, entry("INVALID_USAGE", f"{label} is required if known", WARNING)))
-    elif rule.usage == "X":
-        out.append(F.when(~empty, entry("INVALID_USAGE", f"{label} is not used", WARNING)))
-    elif condition is not None:
-        out.append(F.when(empty & condition, entry("INVALID_USAGE", f"{label} is required: {rule.usage}")))
+def _is(kind: str, value: Column) -> Column:
+    """Whether a value is of a primitive type; a date must be a day of the calendar."""
+    good = value.rlike(TYPE_PATTERNS[kind])
+    if kind in ("DT", "TS", "DTM"):
+        good = good & ((F.length(value) < 8) | ~value.rlike("^[0-9]{8}") | F.try_to_timestamp(F.substring(value, 1, 8), F.lit("yyyyMMdd")).isNotNull())
+    return good
+
+
+def _not(kind: str):
+    return lambda x: (x["value"] != "") & ~_is(kind, x["value"])
+
+
+def _longer(most: int):
+    return lambda x: F.length(x["value"]) > most
+
+
+def _text(s: Column, segment: str, number: int, d: Column) -> Column:
+    """Field ``number`` of a segment struct <line, occurrence, text, fields>."""
+    if segment == "MSH":
+        return d["field"] if number == 1 else F.lit("") if number < 1 else F.coalesce(F.get(s["fields"], F.lit(number - 1)), F.lit(""))
+    return F.coalesce(F.get(s["fields"], F.lit(number)), F.lit(""))
+
+
+def _field_entries(rule: FieldRule, profile: Profile, s: Column, d: Column, condition: Column | None) -> Column:
+    """What is wrong with one field of a segment struct <line, occurrence, text, fields>, as an array with nulls for what is right.
+
+    The field and its repetitions are taken once; paths and places are made only for what is wrong.
+    """
     delimiters_field = rule.segment == "MSH" and rule.number <= 2
+    text = _text(s, rule.segment, rule.number, d)
     repetitions = F.array(text) if delimiters_field else extract.split_on(text, d["repetition"])
-    least, most = rule.cardinality
-    n = F.when(empty, 0).otherwise(F.size(repetitions))
-    bad = (n < least) & ~empty if most is None else (n > most) | (n < least) & ~empty
-    out.append(F.when(bad, entry("INVALID_CARDINALITY", F.format_string(f"{label} has %d repetitions", n))))
-    if rule.data_type in TYPE_PATTERNS:
-        out.append(F.when(~empty & F.exists(repetitions, lambda r: (r != "") & ~r.rlike(TYPE_PATTERNS[rule.data_type])), entry("INVALID_FIELD_TYPE", f"{label} is not a valid {rule.data_type}")))
-    if rule.most_length is not None:
-        out.append(F.when(F.exists(repetitions, lambda r: F.length(r) > rule.most_length), entry("INVALID_FIELD_LENGTH", f"{label} is longer than {rule.most_length}")))
-    if rule.constant is not None:
-        out.append(F.when(~empty & F.exists(repetitions, lambda r: r != rule.constant), entry("INVALID_DEFAULT_VALUE", f"{label} is not {rule.constant}")))
-    return out
-
+    label = f"{rule.segment}-{rule.number} {rule.name}".strip()
+    # the column at which the field starts: what comes before it and the delimiter
+    before = F.array_join(F.slice(s["fields"], F.lit(1), F.lit(rule.number - (rule.segment == "MSH") or 1)), "|")
+    begin = F.length(before) + 2 if rule.number > (rule.segment == "MSH") else F.lit(1)
 
-def _component_entries(rule: FieldRule, profile: Profile, s: Column, d: Column) -> list[Column]:
-    """Components of a composite type that the profile describes under ``segmentFields`` by the type's name, one level at a time."""
+    def entries(v: Column) -> Column:
+        own, parts = v["text"], v["repetitions"]
+        path = F.concat(F.lit(f"{rule.segment}["), s["occurrence"].cast("string"), F.lit(f"]-{rule.number}"))
+        entry = lambda category, said, kind=ERROR: _entry(s["line"], path, category, said if isinstance(said, Column) else F.lit(said), kind, begin, F.length(own))
+        empty = own == ""
+        out = []
+        if rule.usage == "R":
+            out.append(F.when(empty, entry("INVALID_USAGE", f"{label} is required")))
+        elif rule.usage == "RE":
+            out.append(F.when(empty, entry("INVALID_USAGE", f"{label} is required if known", WARNING)))
+        elif rule.usage == "X":
+            out.append(F.when(~empty, entry("INVALID_USAGE", f"{label} is not used", WARNING)))
+        elif condition is not None:
+            out.append(F.when(empty & condition, entry("INVALID_USAGE", f"{label} is required: {rule.usage}")))
+        least, most = rule.cardinality
+        n = F.when(empty, 0).otherwise(F.size(parts))
+        bad = (n < least) & ~empty if most is None else (n > most) | (n < least) & ~empty
+        if least > 1 or most is not None:
+            out.append(F.when(bad, entry("INVALID_CARDINALITY", F.format_string(f"{label} has %d repetitions", n))))
+        if rule.data_type in TYPE_PATTERNS:
+            out.append(F.when(F.exists(parts, lambda r: (r != "") & ~_is(rule.data_type, r)), entry("INVALID_FIELD_TYPE", f"{label} is not a valid {rule.data_type}")))
+        if rule.most_length is not None:
+            out.append(F.when(F.exists(parts, lambda r: F.length(r) > rule.most_length), entry("INVALID_FIELD_LENGTH", f"{label} is longer than {rule.most_length}")))
+        if rule.constant is not None:
+            out.append(F.when(~empty & F.exists(parts, lambda r: r != rule.constant), entry("INVALID_DEFAULT_VALUE", f"{label} is not {rule.constant}")))
+        for number, part, values in _components(rule, profile, parts, d):
+            whole = F.concat(path, F.lit(f".{number}"))
+            said = f"{rule.segment}-{rule.number}.{number} {part.name}".strip()
+            inner = lambda category, what, whole=whole: _entry(s["line"], whole, category, F.lit(what))
+            if part.usage == "R":
+                out.append(F.when(F.exists(values, lambda x: x["within"] & (x["value"] == "")), inner("INVALID_USAGE", f"{said} is required")))
+            if part.data_type in TYPE_PATTERNS:
+                out.append(F.when(F.exists(values, _not(part.data_type)), inner("INVALID_FIELD_TYPE", f"{said} is not a valid {part.data_type}")))
+            if part.most_length is not None:
+                out.append(F.when(F.exists(values, _longer(part.most_length)), inner("INVALID_FIELD_LENGTH", f"{said} is longer than {part.most_length}")))
+        return F.array(*(x.cast(ENTRY) for x in out)) if out else F.array().cast(f"array<{ENTRY}>")
+
+    return extract.let(F.struct(text.alias("text"), repetitions.alias("repetitions")), entries)
+
+
+def _components(rule: FieldRule, profile: Profile, repetitions: Column, d: Column) -> list[tuple[str, FieldRule, Column]]:
+    """(number, rule, array<struct<value, within>>) of the components of a composite type that the profile describes under ``segmentFields`` by the type's name,
+    and of the subcomponents where those are composite themselves; ``within`` says that what holds them is not empty. There are no levels below."""
     out = []
+    each = lambda value, holder: F.transform(repetitions, lambda r: F.struct(value(r).alias("value"), (holder(r) != "").alias("within")))
+    nth = lambda of, sign, k: lambda r: extract.nth(of(r), d[sign], k)
+    whole = lambda r: r
     for part in (r for r in profile.rules if r.segment == rule.data_type):
-        values = F.transform(extract.split_on(extract.field_text(s["text"], rule.segment, rule.number, d), d["repetition"]), lambda r: extract.nth(r, d["component"], part.number))
-        path = F.concat(F.lit(f"{rule.segment}["), s["occurrence"].cast("string"), F.lit(f"]-{rule.number}.{part.number}"))
-        label = f"{rule.segment}-{rule.number}.{part.number} {part.name}".strip()
-        whole = extract.field_text(s["text"], rule.segment, rule.number, d) != ""
-        entry = lambda category, said: _entry(s["line"], path, category, F.lit(said))
-        if part.usage == "R":
-            out.append(F.when(whole & F.exists(values, lambda v: v == ""), entry("INVALID_USAGE", f"{label} is required")))
-        if part.data_type in TYPE_PATTERNS:
-            pattern = TYPE_PATTERNS[part.data_type]
-            out.append(F.when(F.exists(values, lambda v: (v != "") & ~v.rlike(pattern)), entry("INVALID_FIELD_TYPE", f"{label} is not a valid {part.data_type}")))
-        if part.most_length is not None:
-            out.append(F.when(F.exists(values, lambda v: F.length(v) > part.most_length), entry("INVALID_FIELD_LENGTH", f"{label} is longer than {part.most_length}")))
+        component = nth(whole, "component", part.number)
+        out.append((str(part.number), part, each(component, whole)))
+        for inner in (r for r in profile.rules if r.segment == part.data_type):
+            out.append((f"{part.number}.{inner.number}", inner, each(nth(component, "subcomponent", inner.number), component)))
     return out
 
 
@@ -135,29 +179,33 @@ def _condition(rule: FieldRule, s: Column, d: Column) -> Column | None:
     found = re.fullmatch(r"C\(\s*([0-9]+)\s*(=?)\s*\)", rule.usage)
     if not found:
         return None
-    other = extract.field_text(s["text"], rule.segment, int(found[1]), d)
+    other = _text(s, rule.segment, int(found[1]), d)
     return other == "" if found[2] else other != ""
 
 
 def field_checks(messages: DataFrame, profile: Profile, id_column: str = "message_id") -> DataFrame:
     """Usage, repetitions, data type, length and constant of each field that a profile's ``segmentFields`` describes."""
     rows = _scanned(messages).where("segments is not null")
+    return _rows(rows, id_column, _field_checks(profile))
+
+
+def _field_checks(profile: Profile) -> Column:
+    """What is wrong with the fields of a ``_scanned`` frame's segments."""
     d = own_signs()
-    entries = []
+    entries = [F.array().cast(f"array<{ENTRY}>")]
     for name in dict.fromkeys(r.segment for r in profile.rules if len(r.segment) == 3 and r.segment[0].isalpha()):
         lines = F.filter(F.transform("segments", lambda s, i: F.struct((i + 1).alias("line"), s.alias("text"))), lambda e: F.startswith(e["text"], F.lit(name)))
-        own = F.transform(lines, lambda e, i: F.struct(e["line"].alias("line"), (i + 1).alias("occurrence"), e["text"].alias("text")))
+        own = F.transform(lines, lambda e, i: F.struct(e["line"].alias("line"), (i + 1).alias("occurrence"), e["text"].alias("text"), extract.split_on(e["text"], d["field"]).alias("fields")))
         rules = [r for r in profile.rules if r.segment == name]
-        entries.append(F.flatten(F.transform(own, lambda s: F.array(*(x.cast(ENTRY) for r in rules for x in [*_field_entries(r, s, d, _condition(r, s, d)), *_component_entries(r, profile, s, d)])))))
-    if not entries:
-        return _rows(rows.where("false"), id_column, F.array(F.lit(None).cast(ENTRY)))
-    return _rows(rows, id_column, F.concat(*entries))
+        entries.append(F.flatten(F.transform(own, lambda s: F.filter(F.flatten(F.array(*(_field_entries(r, profile, s, d, _condition(r, s, d)) for r in rules))), lambda e: e.isNotNull()))))
+    return F.concat(*entries)
 
 
 def validate_structure(messages: DataFrame, profile: Profile, fields: Profile | None = None, id_column: str = "message_id") -> DataFrame:
     """All of ``scan_errors``, ``segment_cardinality`` and ``field_checks``; field descriptions may come from another profile."""
-    found = scan_errors(messages, id_column).unionByName(segment_cardinality(messages, profile, id_column))
-    return found.unionByName(field_checks(messages, fields or profile, id_column))
+    rows = _scanned(messages)
+    whole = F.concat(_cardinality_entries(profile), _field_checks(fields or profile))
+    return _rows(rows, id_column, F.when(F.col("scan_error").isNotNull(), _scan_entries()).otherwise(whole))
 
 
 def load_rules(source: str | dict) -> dict[str, list[dict]]:
@@ -166,11 +214,6 @@ def load_rules(source: str | dict) -> dict[str, list[dict]]:
     return {k: list(data.get("rules", {}).get(k) or []) for k in ("predicates", "conformance")}
 
 
-def _occurrences(path: str) -> tuple[Column, str]:
-    plan = parse(path)
-    return extract.named(F.col("segments"), plan.first.name), plan.first.name
-
-
 def _located(path: str, d: Column) -> Column:
     """array<struct<line, occurrence, values>> of the segments that a path names, all of them."""
     plan = parse(path)

@@ -1,4 +1,4 @@
-"""The path language: from text such as ``OBX[@3.1='94500-6']-5.1`` to a frozen description.
+"""The path language: from text such as ``OBX[@3.1='4711-0']-5.1`` to a frozen description.
 
 Paths are read on the driver, once for each query. A pattern reads one hop as far as it fits; what
 stands where it stopped says what is wrong. Offsets in errors are bytes of the path's UTF-8 text.

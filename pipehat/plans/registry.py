@@ -11,9 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import extract
-from ..functions.scan import scan_error_text
 from ..operators import deidentify, frames, validate
 from ..sources import files, synth
+from .path import PathError, parse
 from .profile import Profile
 
 PROFILE = Profile.of(
@@ -49,6 +49,8 @@ m AS (SELECT o.*, c_name, c_nationkey FROM orders o JOIN customer ON o_custkey =
 x AS (SELECT i.*, m.* FROM i JOIN m ON l_orderkey = o_orderkey)
 """
 _QUANTITY = "printf('%.0f', CAST(l_quantity AS DOUBLE))"
+_PID = "'PID|1||' || o_custkey || '^^^HOSP&1.2.3&ISO^MR~X' || o_custkey || '^^^ALT^PI||' || c_name || '^GIVEN^M||||||' || c_nationkey"
+_MSH = "'MSH|^~\\&|LAB^' || o_orderpriority || '|HOSP|RCV|DEST|' || strftime(o_orderdate, '%Y%m%d%H%M%S') || '||ORU^R01^ORU_R01|' || o_orderkey || '|P|2.5.1'"
 _PRICE = "printf('%.2f', CAST(l_extendedprice AS DOUBLE))"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -202,35 +204,34 @@ def empty_removed(spark, sf_dir):
     return rows.select("message_id", extract.first_value(F.col("kept")).alias("kept"), F.col("gone").isNull().alias("gone"))
 
 
-@_query("SELECT kind, CAST(count(*) AS BIGINT) AS n, CAST(min(place) AS BIGINT) AS least_offset FROM (SELECT CASE o_orderkey % 4 WHEN 0 THEN 'MissingMsh' WHEN 1 THEN 'TruncatedMsh' WHEN 2 THEN 'UnrecognizedSegment' END AS kind, CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 WHEN 2 THEN 12 + length(CAST(o_orderkey AS VARCHAR)) END AS place FROM m) GROUP BY 1")
+@_query(
+    f"""SELECT o_orderkey AS message_id, CASE o_orderkey % 4 WHEN 0 THEN 'MissingMsh' WHEN 1 THEN 'TruncatedMsh' ELSE 'UnrecognizedSegment' END AS kind,
+    CAST(CASE o_orderkey % 4 WHEN 0 THEN 0 WHEN 1 THEN 6 ELSE strlen({_MSH}) + 1 END AS BIGINT) AS place FROM m WHERE o_orderkey % 4 < 3"""
+)
 def scan_errors(spark, sf_dir):
-    """Broken messages are counted by what is wrong with them and where."""
-    k = F.col("message_id") % 4
-    ident = F.col("message_id").cast("string")
-    text = F.when(k == 0, F.concat(F.lit("FHS|x\r"), F.col("message"))).when(k == 1, F.lit("MSH|^~\rPID|1")).when(k == 2, F.concat(F.lit("MSH|^~\\&|"), ident, F.lit("|\r\npid|1\r\n"))).otherwise(F.col("message"))
-    rows = frames.scan(synth.messages(spark, sf_dir).select("message_id", text.alias("message")))
-    return rows.groupBy("scan_error.kind").agg(F.count("*").alias("n"), F.min("scan_error.offset").alias("least_offset"))
-
+    """Messages broken in three ways: what is wrong with each, and where."""
+    k, text = F.col("message_id") % 4, F.col("message")
+    broken = F.when(k == 0, F.concat(F.lit("FHS|x\r"), text)).when(k == 1, F.concat(F.substring(text, 1, 6), F.lit("\r"), text)).when(k == 2, F.regexp_replace(text, "\rPID", "\rpid")).otherwise(text)
+    rows = frames.scan(synth.messages(spark, sf_dir).select("message_id", broken.alias("message"))).where("scan_error is not null")
+    return rows.select("message_id", "scan_error.kind", F.col("scan_error.offset").cast("long").alias("place"))
 
-@_query("SELECT 'scan' AS what, 'segment 1 at offset ' || (12 + length(CAST(o_orderkey AS VARCHAR))) || ' has an unrecognized name' AS said, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL")
-def scan_error_texts(spark, sf_dir):
-    text = F.concat(F.lit("MSH|^~\\&|"), F.col("message_id").cast("string"), F.lit("|\r\npid|1"))
-    rows = frames.scan(synth.messages(spark, sf_dir).select("message_id", text.alias("message")))
-    return rows.groupBy(F.lit("scan").alias("what"), scan_error_text(F.col("scan_error")).alias("said")).agg(F.count("*").alias("n"))
 
-
-@_query("SELECT kind, CAST(sum(k) AS BIGINT) AS n FROM (SELECT unnest([{'kind': 'field', 'k': 3}, {'kind': 'component', 'k': 2}, {'kind': 'repetition', 'k': 1}, {'kind': 'escape', 'k': 1}, {'kind': 'subcomponent', 'k': 1}], recursive := true) FROM m) GROUP BY 1")
+@_query(
+    f"""SELECT kind, CAST(sum(length(t) - length(replace(t, sign, ''))) AS BIGINT) AS n, CAST(sum(CASE WHEN contains(t, sign) THEN strlen(h) + strpos(t, sign) END) AS BIGINT) AS first_offsets
+    FROM (SELECT {_PID} AS t, {_MSH} AS h FROM m), (VALUES ('field', '|'), ('component', '^'), ('repetition', '~'), ('subcomponent', '&')) s(kind, sign) GROUP BY 1"""
+)
 def delimiter_counts(spark, sf_dir):
-    """Delimiter bytes of a message, by kind, with delimiters of its own."""
-    text = F.concat(F.lit("MSH#@%!$#a@b#"), F.lit(""))
-    rows = synth.messages(spark, sf_dir).select("message_id", text.alias("message"))
-    return frames.delimiter_occurrences(rows).groupBy("kind").agg(F.count("*").alias("n"))
+    """Delimiter bytes of PID in all messages, by kind, and the sum of each message's first offset of that kind."""
+    rows = frames.delimiter_occurrences(synth.messages(spark, sf_dir)).where("segment_index = 1")
+    firsts = rows.groupBy("message_id", "kind").agg(F.count("*").alias("n"), F.min("offset").alias("first"))
+    return firsts.groupBy("kind").agg(F.sum("n").alias("n"), F.sum("first").cast("long").alias("first_offsets"))
 
 
-@_query("SELECT o_orderkey AS message_id, CAST(strlen('PID|1||' || o_custkey || '^^^HOSP&1.2.3&ISO^MR~X' || o_custkey || '^^^ALT^PI||' || c_name || '^GIVEN^M||||||' || c_nationkey) AS BIGINT) AS n_bytes FROM m")
+@_query(f"SELECT o_orderkey AS message_id, CAST(strlen({_MSH}) + 1 AS BIGINT) AS first, CAST(strlen({_PID}) AS BIGINT) AS n_bytes FROM m")
 def segment_spans(spark, sf_dir):
+    """Where a segment starts and how long it is, in bytes."""
     rows = frames.segments_long(synth.messages(spark, sf_dir), with_spans=True).where("name = 'PID'")
-    return rows.select("message_id", (F.col("end") - F.col("start")).alias("n_bytes"))
+    return rows.select("message_id", F.col("start").cast("long").alias("first"), (F.col("end") - F.col("start")).cast("long").alias("n_bytes"))
 
 
 @_query("SELECT CAST(floor(o_orderkey / 50) AS BIGINT) AS file, CAST(count(*) AS BIGINT) AS n, string_agg(CAST(o_orderkey AS VARCHAR), ',' ORDER BY o_orderkey) AS ids FROM m GROUP BY 1")
@@ -262,23 +263,37 @@ def field_errors(spark, sf_dir):
     return rows.groupBy("category", "classification").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT o_orderkey AS message_id, CAST(count(*) FILTER (l_returnflag = 'R' OR l_linestatus <> 'F') AS BIGINT) AS n FROM x GROUP BY 1 HAVING count(*) FILTER (l_returnflag = 'R' OR l_linestatus <> 'F') > 0")
+@_query(
+    """SELECT said, category, CAST(sum(k) AS BIGINT) AS n FROM (
+    SELECT 'final' AS said, 'INVALID_CONFORMANCE' AS category, count(*) AS k FROM x WHERE l_linestatus <> 'F' UNION ALL SELECT 'flag', 'INVALID_CONFORMANCE', count(*) FROM x WHERE l_returnflag = 'R'
+    UNION ALL SELECT 'one', 'INVALID_CONFORMANCE', count(*) FROM (SELECT o_orderkey FROM x GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'unit', 'INVALID_PREDICATE', count(*) FROM x
+    UNION ALL SELECT 'sex', 'INVALID_PREDICATE', count(*) FROM m) GROUP BY ALL HAVING sum(k) > 0"""
+)
 def rule_errors(spark, sf_dir):
-    """Predicate and conformance rules over each line."""
+    """Both predicates and all three conformance rules, by what they say; two more of them have nothing to say."""
     rows = frames.scan(synth.messages(spark, sf_dir))
-    rules = [{"name": "constant", "field": "OBX-5[3]", "reference": "F"}, {"name": "regEx", "field": "OBX-5[2]", "reference": "[^R]"}, {"name": "existsUnique", "field": "PID-5.1"}]
-    found = validate.conformance_errors(rows, rules).select("message_id", "line")
-    due = validate.predicate_errors(rows, [{"name": "requiredIfNotEmpty", "field": "OBX-6", "reference": "OBX-3.1"}, {"name": "requiredIfEmpty", "field": "PID-5", "reference": "PID-6"}]).select("message_id", "line")
-    return found.union(due).distinct().groupBy("message_id").agg(F.count("*").alias("n"))
+    rules = [
+        {"name": "constant", "field": "OBX-5[3]", "reference": "F", "description": "final"}, {"name": "regEx", "field": "OBX-5[2]", "reference": "[^R]", "description": "flag"},
+        {"name": "existsUnique", "field": "OBX-1", "description": "one"}, {"name": "existsUnique", "field": "PID-5.1", "description": "never"},
+    ]
+    due = [
+        {"name": "requiredIfNotEmpty", "field": "OBX-7", "reference": "OBX-6", "description": "unit"}, {"name": "requiredIfEmpty", "field": "PID-8", "reference": "PID-9", "description": "sex"},
+        {"name": "requiredIfEmpty", "field": "OBX-7", "reference": "OBX-3.1", "description": "never"},
+    ]
+    found = validate.conformance_errors(rows, rules).unionByName(validate.predicate_errors(rows, due))
+    return found.groupBy(F.col("description").alias("said"), "category").agg(F.count("*").alias("n"))
 
 
-@_query("SELECT o_orderkey AS message_id, 'Someone' AS name, CASE WHEN l_returnflag = 'R' THEN '0' ELSE l_linestatus END AS status, CAST(l_partkey AS VARCHAR) AS part FROM x WHERE n = 1")
+@_query(
+    """, h AS (SELECT *, list_reduce(list_prepend(0::BIGINT, list_transform(string_split(CAST(o_custkey AS VARCHAR), ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: (a * 31 + b) % 4294967296) AS h FROM x WHERE n = 1)
+    SELECT o_orderkey AS message_id, 'Someone' AS name, CASE WHEN l_returnflag = 'R' THEN '0' ELSE l_linestatus END AS status, CAST(l_partkey AS VARCHAR) AS part, CAST(CASE WHEN h >= 2147483648 THEN 4294967296 - h ELSE h END AS VARCHAR) AS patient FROM h"""
+)
 def deidentified(spark, sf_dir):
-    """Values replaced under a condition and lines removed."""
-    rules = ["PID-5.1,Someone", "OBX-5[3],0,OBX-5[2] = R", "NTE,$REMOVE", "PID-3.1,$HASH"]
+    """Values replaced, under a condition too, and hashed, and lines removed."""
+    rules = ["PID-5.1,Someone", "OBX-5[3],0,OBX-5[2] = R", "NTE,$REMOVE", "PID-3[1].1,$HASH"]
     rows = deidentify.deidentify(synth.messages(spark, sf_dir), rules)
-    rows = frames.query(rows, {"name": "PID-5.1", "status": "OBX[1]-5[3]", "part": "OBX[1]-3.1"})
-    return _first(rows, name="name", status="status", part="part")
+    rows = frames.query(rows, {"name": "PID-5.1", "status": "OBX[1]-5[3]", "part": "OBX[1]-3.1", "patient": "PID-3[1].1"})
+    return _first(rows, name="name", status="status", part="part", patient="patient")
 
 
 @_query("SELECT rule, CAST(sum(k) AS BIGINT) AS n FROM (SELECT 'replaced with Someone' AS rule, count(*) AS k FROM m UNION ALL SELECT 'replaced with 0', count(*) FROM x WHERE l_returnflag = 'R' UNION ALL SELECT 'segment removed', count(*) FROM x WHERE l_returnflag = 'R') GROUP BY 1 HAVING sum(k) > 0")
@@ -333,14 +348,42 @@ def line_values(spark, sf_dir):
     return rows.select("message_id", (F.col("k") + 1).cast("long").alias("occurrence"), name.alias("name"), F.get(frames.segment_value(F.col("line"), "OBX-5[2]", d), F.lit(0)).alias("flag"))
 
 
-@_query("SELECT category, path, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(CASE o_orderkey % 3 WHEN 0 THEN [{'category': 'INVALID_BATCH_SEGMENTS', 'path': 'BHS'}] WHEN 1 THEN [{'category': 'INVALID_BATCH_SEGMENT', 'path': 'BTS'}] ELSE [] END, recursive := true) FROM m) GROUP BY ALL")
+@_query(
+    """SELECT category, path, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(CASE o_orderkey % 9
+        WHEN 0 THEN [{'category': 'INVALID_BATCH_SEGMENTS', 'path': 'BHS'}] WHEN 1 THEN [{'category': 'INVALID_BATCH_SEGMENT', 'path': 'BTS'}]
+        WHEN 3 THEN [{'category': 'DUPLICATE_SEGMENT', 'path': 'FHS'}, {'category': 'INVALID_BATCH_SEGMENT', 'path': 'BHS'}]
+        WHEN 4 THEN [{'category': 'INVALID_BATCH_SEGMENT', 'path': 'FTS'}, {'category': 'INVALID_BATCH_SEGMENT', 'path': 'BTS'}]
+        WHEN 5 THEN [{'category': 'INVALID_FILE_HEADER_SEGMENT', 'path': 'FHS'}, {'category': 'INVALID_BATCH_SEGMENT', 'path': 'BHS'}]
+        WHEN 6 THEN [{'category': 'INVALID_MESSAGE', 'path': 'MSH'}] WHEN 7 THEN [{'category': 'INVALID_BATCH_SEGMENTS', 'path': 'FTS'}]
+        WHEN 8 THEN [{'category': 'INVALID_BATCH_SEGMENT', 'path': 'BTS'}] ELSE [] END, recursive := true) FROM m) GROUP BY ALL"""
+)
 def batch_checks(spark, sf_dir):
-    """Batch envelopes that lack a header or count wrongly, or are as they should be."""
-    k = F.col("message_id") % 3
-    head = F.when(k == 0, "FHS|a\r").otherwise("FHS|a\rBHS|b\r")
-    tail = F.when(k == 1, "\rBTS|7\rFTS|1").otherwise("\rBTS|1\rFTS|1")
-    rows = synth.messages(spark, sf_dir).select("message_id", F.concat(head, F.col("message"), tail).alias("message"))
-    return validate.batch_errors(rows).groupBy("category", "path").agg(F.count("*").alias("n"))
+    """Batch envelopes that lack, repeat or misplace a segment, count wrongly, hold no message, or are as they should be."""
+    k = F.col("message_id") % 9
+    head = F.when(k == 0, "FHS|a\r").when(k == 3, "FHS|a\rFHS|a\rBHS|b\r").when(k == 5, "BHS|b\rFHS|a\r").otherwise("FHS|a\rBHS|b\r")
+    tail = F.when(k == 1, "\rBTS|7\rFTS|1").when(k == 4, "\rFTS|1\rBTS|1").when(k == 7, "\rBTS|1").when(k == 8, "\rBTS|x\rFTS|1").otherwise("\rBTS|1\rFTS|1")
+    text = F.when(k == 6, "FHS|a\rBHS|b\rBTS|0\rFTS|1").otherwise(F.concat(head, F.col("message"), tail))
+    return validate.batch_errors(synth.messages(spark, sf_dir).select("message_id", text.alias("message"))).groupBy("category", "path").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT path, kind, CAST(place AS INTEGER) AS place FROM (VALUES ('PID-5.1', NULL, NULL), ('pid-1', 'InvalidSegmentName', 0), ('PID-', 'UnexpectedEnd', 4), ('OBX[1].5', 'UnexpectedSeparator', 6), ('OBX[x]-1', 'InvalidSegIndex', 4), ('OBX[1', 'InvalidSegIndex', 3), ('PID-x', 'InvalidFieldIndex', 4), ('OBX[@3<>''x'']', 'InvalidOperator', 6), ('OBX[@3=''x]', 'UnterminatedFilter', 8), ('PID-1 more', 'TrailingInput', 5), ('ORC -> OBR -> OBX', 'MultipleHierarchyHops', 10)) v(path, kind, place)")
+def path_errors(spark, sf_dir):
+    """What is wrong with paths that can't be read, and at which byte."""
+    rows = []
+    for path in ("PID-5.1", "pid-1", "PID-", "OBX[1].5", "OBX[x]-1", "OBX[1", "PID-x", "OBX[@3<>'x']", "OBX[@3='x]", "PID-1 more", "ORC -> OBR -> OBX"):
+        try:
+            parse(path)
+            rows.append((path, None, None))
+        except PathError as e:
+            rows.append((path, e.kind, e.offset))
+    return spark.createDataFrame(rows, "path string, kind string, place int")
+
+
+@_query("SELECT o_orderkey AS message_id, CAST(n + 5 + coalesce(sum(CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END) OVER (PARTITION BY o_orderkey ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS line_number, 'returned \\T\\ kept ' || l_partkey AS value FROM x QUALIFY l_returnflag = 'R'")
+def located_children(spark, sf_dir):
+    """Values two steps down, with the line they stand on."""
+    rows = frames.located_values(synth.messages(spark, sf_dir), "OBR[1] -> OBX -> NTE-3", profile=PROFILE, hops="chain")
+    return rows.select("message_id", F.col("line_number").cast("long").alias("line_number"), "value")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -13,7 +13,7 @@ from pipehat.sources import files
 from .plain import SCAN_FAILED, evaluate, lines_of, scan_error
 
 HEAD = "MSH|^~\\&|LAB|FAC|||20200102030405||ORU^R01|7|P|2.5.1"
-REPORT = "\r".join([HEAD, "PID|1||A^^^X&Y~B||NAME^FIRST", "OBR|1|||CODE^Long&Short", "OBX|1|NM|94500-6^T||Positive~Weak||5||||F", "OBX|2|NM|85477-8||Negative||7.5||||P", "OBX|3|ST|1-1||||nan||||F"])
+REPORT = "\r".join([HEAD, "PID|1||A^^^X&Y~B||NAME^FIRST", "OBR|1|||CODE^Long&Short", "OBX|1|NM|4711-0^T||Positive~Weak||5||||F", "OBX|2|NM|4712-8||Negative||7.5||||P", "OBX|3|ST|1-1||||nan||||F"])
 ODD = "MSH#@%!$#a@b#\nPID#1##x@y$z%w\nOBX#1\n"
 
 MESSAGES = [
@@ -23,7 +23,7 @@ MESSAGES = [
 PATHS = [
     "MSH", "MSH-0", "MSH-1", "MSH-2", "MSH-2.1", "MSH-3", "MSH-12", "MSH-9.2", "PID", "PID-0", "PID-3", "PID-3[2]", "PID-3[2].1", "PID-3[9]", "PID-3[0]", "PID-3[$LAST].4.2", "PID-3.4.2", "PID-3.0", "PID-3.1.0", "PID-5.2", "PID-99", "PID-99.1",
     "OBX[1]-5", "OBX[0]-5", "OBX[2]-5", "OBX[9]-5", "OBX[$LAST]-1", "OBX[*]-5[*]", "OBX-5[2]", "OBX[2]", "ZZZ", "ZZZ-1", "OBX-4294967295", "OBX[4294967295]-1", "OBX-2[4294967295].4294967295",
-    "OBX[@3.1='94500-6']-5", "OBX[@3.1='94500-6||85477-8']-5", "OBX[@3='94500-6']-5", "OBX[@11!='F']-1", "OBX[@11!='F||P']-1", "OBX[@11!='F||F']-1", "OBX[@99!='x']-1", "OBR[@4.2.2='Short']-4.1", "OBX[@3.1 = '1-1']-1", "OBX[@3='no']-1",
+    "OBX[@3.1='4711-0']-5", "OBX[@3.1='4711-0||4712-8']-5", "OBX[@3='4711-0']-5", "OBX[@11!='F']-1", "OBX[@11!='F||P']-1", "OBX[@11!='F||F']-1", "OBX[@99!='x']-1", "OBR[@4.2.2='Short']-4.1", "OBX[@3.1 = '1-1']-1", "OBX[@3='no']-1",
     "OBX[@7>'5']-1", "OBX[@7>='5']-1", "OBX[@7<'6||x']-1", "OBX[@7<'6||8']-1", "OBX[@7<='5']-1", "OBX[@1>'1']-1", "OBX[@1<'2.5e0||abc']-1", "OBX[@5>'1']-1", "ZZZ[@1>'x']-1", "OBX[@1>'nan']-1", "OBX[@1<'inf']-1", "OBX[@2>'-inf']-1", "OBX[@6>'1']-1",
     "OBX[@1>'-infinity']-2", "OBX[@3>'999']-1", "OBX[@4<'1']-1", "OBX[@5>='5']-1", "MSH[@0!='x']-3", "MSH[@3='LAB']-4",
 ]
@@ -87,26 +87,31 @@ def test_spans_and_delimiters(spark):
             assert [(o, k) for o, _, k in sorted(found[i])] == want
 
 
-DEEP = Profile.of({"segmentDefinition": {"MSH": {"cardinality": "[1..1]", "children": {"PID": {}, "ORC": {}, "OBR": {"children": {"NTE": {}, "OBX": {"children": {"NTE": {}}}, "SPM": {"children": {"OBX": {}}}}}}}}})
-TREE = "\r".join([HEAD, "PID|1", "ORC|1", "OBR|1", "NTE|1|a", "NTE|2|b", "OBX|1|x", "OBX|2|y", "NTE|3|c", "ZZZ|1", "SPM|1", "OBX|3|z", "OBR|2", "ORC|2", "NTE|9|lost"])
+CARE = Profile.of({"segmentDefinition": {"MSH": {"children": {"PID": {"children": {"PV1": {}}}, "ORC": {"children": {"RXO": {"children": {"RXR": {}, "NTE": {}}}, "NTE": {}, "FT1": {"children": {"NTE": {}}}}}}}}})
+VISIT = "\r".join([HEAD, "PID|1", "PV1|1", "ORC|1", "NTE|1|top", "RXO|1|asp", "RXR|1|po", "NTE|2|slow", "RXO|2|ibu", "ZXT|1", "FT1|1", "NTE|3|paid", "ORC|2", "PV1|9", "RXO|3|par"])
 
 
 def test_hierarchy(spark):
-    df = spark.createDataFrame([(1, TREE)], "message_id int, message string")
-    rows = frames.segments_long(df, profile=DEEP).collect()
-    assert [r.parent_index for r in rows] == [-1, 0, 0, 0, 3, 3, 3, 3, 7, None, 3, 10, 0, 0, None]
-    one = lambda path, **o: frames.get_value(df, path, profile=DEEP, **o).first()["values"]
-    assert one("OBR[1] -> OBX-2") == [["x"], ["y"]] and one("OBR -> OBX-2") == [["x"], ["y"]]
-    assert one("OBR[2] -> OBX-2") == [] and one("OBR[9] -> OBX-2") == []
-    assert one("OBR[1] -> OBX[2]-2") == [["x"]] and one("OBR[1] -> OBX[0]-2") == [] and one("OBR[1] -> OBX[1]-2", child_index="per_parent") == [["x"]]
-    assert one("OBR[1] -> NTE[1]-2") == [["b"]] and one("OBR[1] -> OBX[@2='y']-1") == [["2"]] and one("OBR[1] -> NTE[$LAST]-2") == [["b"]]
-    assert one("SPM -> OBX") == [["OBX|3|z"]] and one("OBR -> OBX -> NTE-2", hops="chain") == [["c"]] and one("OBR[1] -> OBX[3] -> NTE-2", hops="chain") == [["c"]]
-    assert one("OBR[1] -> OBX -> NTE-2", hops="legacy") is None and one("OBR -> OBX-2", build_hierarchy=False) is None
-    assert frames.get_value(df, "OBR -> OBX-2").first()["values"] is None
-    r = frames.get_value(df, "OBR -> OBX[@2>'1']-1", profile=DEEP).first()
+    df = spark.createDataFrame([(1, VISIT)], "message_id int, message string")
+    rows = frames.segments_long(df, profile=CARE).collect()
+    assert [r.parent_index for r in rows] == [-1, 0, 1, 0, 3, 3, 5, 5, 3, None, 3, 10, 0, None, 12]
+    one = lambda path, **o: frames.get_value(df, path, profile=CARE, **o).first()["values"]
+    assert one("ORC[1] -> RXO-2") == [["asp"], ["ibu"]] and one("ORC -> RXO-2") == [["asp"], ["ibu"], ["par"]]
+    assert one("ORC[2] -> FT1-1") == [] and one("ORC[9] -> RXO-2") == []
+    assert one("ORC[1] -> RXO[2]-2") == [["ibu"]] and one("ORC[1] -> RXO[0]-2") == [] and one("ORC[1] -> RXO[1]-2", child_index="per_parent") == [["asp"]]
+    assert one("ORC[1] -> NTE[0]-2") == [["top"]] and one("ORC[1] -> RXO[@2='ibu']-1") == [["2"]] and one("ORC[1] -> RXO[$LAST]-2") == [["ibu"]]
+    assert one("FT1 -> NTE") == [["NTE|3|paid"]] and one("ORC -> RXO -> NTE-2", hops="chain") == [["slow"]] and one("ORC[1] -> RXO[1] -> NTE-2", hops="chain") == [["slow"]]
+    assert one("ORC[1] -> RXO -> NTE-2", hops="legacy") is None and one("ORC -> RXO-2", build_hierarchy=False) is None
+    assert frames.get_value(df, "ORC -> RXO-2").first()["values"] is None
+    r = frames.get_value(df, "ORC -> RXO[@2>'1']-1", profile=CARE).first()
     assert r["values"] is None and r.values_error.operator == ">"
     with pytest.raises(PathError):
-        one("OBR -> OBX -> NTE-2")
+        one("ORC -> RXO -> NTE-2")
+    where = lambda path, **o: [(r.line_number, r.occurrence, r.value) for r in frames.located_values(df, path, profile=CARE, **o).collect()]
+    assert where("ORC -> RXO-2") == [(6, 1, "asp"), (9, 2, "ibu"), (15, 3, "par")] and where("ORC -> RXO -> NTE-2", hops="chain") == [(8, 1, "slow")]
+    assert where("ORC[2] -> FT1-1") == [] and where("ORC[1] -> RXO[2]-2") == [(9, 1, "ibu")] and where("ORC -> RXO[@2>'1']-1") == [] and where("ORC -> RXO-2", build_hierarchy=False) == []
+    with pytest.raises(PathError):
+        where("ORC -> RXO -> NTE-2")
 
 
 def test_segment_api(spark):
@@ -136,22 +141,22 @@ def test_escapes(spark):
 
 
 def test_files_and_batches(spark, tmp_path):
-    (tmp_path / "b.hl7").write_bytes(("FHS|^~\\&\rBHS|^~\\&\r" + REPORT + "\r" + TREE + "\rBTS|2\rFTS|1\r").encode())
+    (tmp_path / "b.hl7").write_bytes(("FHS|^~\\&\rBHS|^~\\&\r" + REPORT + "\r" + VISIT + "\rBTS|2\rFTS|1\r").encode())
     df = files.read_messages(spark, f"{tmp_path}/b.hl7")
     assert df.first().message_id == "b.hl7" and validate.batch_errors(df).count() == 0
     got = files.debatch(df).collect()
-    assert [(r.message_id, r.message) for r in got] == [("b.hl7_00001", REPORT + "\r"), ("b.hl7_00002", TREE + "\r")]
-    files.write_messages(spark.createDataFrame([(REPORT,), (TREE + "\r",)], "message string").coalesce(1), f"{tmp_path}/out")
+    assert [(r.message_id, r.message) for r in got] == [("b.hl7_00001", REPORT + "\r"), ("b.hl7_00002", VISIT + "\r")]
+    files.write_messages(spark.createDataFrame([(REPORT,), (VISIT + "\r",)], "message string").coalesce(1), f"{tmp_path}/out")
     again = files.read_messages(spark, f"{tmp_path}/out/*.txt", split=True).collect()
-    assert [r.message.rstrip("\r") for r in again] == [REPORT, TREE]
+    assert [r.message.rstrip("\r") for r in again] == [REPORT, VISIT]
     assert [r.text for r in files.observation_text(df.limit(0)).collect()] == []
     (tmp_path / "rules.txt").write_text("# names\nPID-5.1,XX\n\nOBX,$REMOVE\n")
     report = files.deidentify_files(spark, f"{tmp_path}/b.hl7", f"{tmp_path}/rules.txt", f"{tmp_path}/safe")
-    assert sorted(r.line_number for r in report.collect()) == [2, 4, 5, 6, 7, 8, 12]
+    assert sorted(r.line_number for r in report.collect()) == [2, 4, 5, 6]
     safe = files.read_messages(spark, f"{tmp_path}/safe/*.txt", split=True).collect()
     assert len(safe) == 2 and not any("OBX" in r.message or "NAME" in r.message for r in safe)
-    files.write_each(spark.createDataFrame([("a", REPORT), ("b", TREE)], "message_id string, message string"), f"{tmp_path}/each")
-    assert files.read_messages(spark, f"{tmp_path}/each/message_id=b/*.txt").first().message.rstrip("\r") == TREE
+    files.write_each(spark.createDataFrame([("a", REPORT), ("b", VISIT)], "message_id string, message string"), f"{tmp_path}/each")
+    assert files.read_messages(spark, f"{tmp_path}/each/message_id=b/*.txt").first().message.rstrip("\r") == VISIT
     files.write_observation_text(spark.createDataFrame([("a", REPORT)], "message_id string, message string"), f"{tmp_path}/text")
     assert [r.value for r in spark.read.text(f"{tmp_path}/text").collect()] == ["Positive", "Weak", "Negative", ""]
     two = spark.createDataFrame([("f", "FHS|1\rMSH|a\rFTS|1\nFHS|2\nMSH|FHS|x")], "message_id string, message string")
@@ -246,6 +251,74 @@ def test_deidentification(spark):
 
 def test_plans_stay_native_and_narrow(spark):
     df = spark.createDataFrame([(1, REPORT)], "message_id int, message string")
-    plan = frames.query(df, {"a": "OBX[@3.1='x']-5", "b": "OBR -> OBX-5"}, profile=DEEP)._jdf.queryExecution().executedPlan().toString()
+    plan = frames.query(df, {"a": "OBX[@3.1='x']-5", "b": "OBR -> OBX-5"}, profile=CARE)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Python" not in plan and "Arrow" not in plan
     assert extract.NUMBER and parse("PID").last
+
+
+def test_files_by_name(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.hl7").write_bytes((REPORT + "\r" + VISIT + "\r").encode())
+    (tmp_path / "in" / "b.txt").write_bytes(REPORT.replace("NAME", "OTHER").encode())
+    df = files.read_messages(spark, f"{tmp_path}/in/*")
+    names = files.write_split(df, f"{tmp_path}/split", "part")
+    assert names == ["part_00001.txt", "part_00002.txt", "part_00003.txt"] and sorted(x.name for x in (tmp_path / "split").iterdir() if x.suffix == ".txt") == names
+    assert (tmp_path / "split" / "part_00002.txt").read_bytes().decode().rstrip() == VISIT
+    (tmp_path / "rules.txt").write_text("PID-5.1,XX\n")
+    report = files.deidentify_each(spark, f"{tmp_path}/in/*", f"{tmp_path}/rules.txt", f"{tmp_path}/safe")
+    assert report.count() == 2
+    safe = {x.name: x.read_bytes().decode() for x in (tmp_path / "safe").iterdir() if not x.name.startswith(".")}
+    assert set(safe) == {"a_deidentified.hl7", "b_deidentified.txt"} and safe["b_deidentified.txt"].rstrip() == REPORT.replace("NAME", "XX")
+    assert files.split_messages(spark.createDataFrame([("x", safe["a_deidentified.hl7"])], "message_id string, message string")).count() == 2
+    files.write_clean(spark, f"{tmp_path}/in/*", f"{tmp_path}/text")
+    text = {x.name: x.read_text() for x in (tmp_path / "text").iterdir() if not x.name.startswith(".")}
+    assert text == {"a_clean.hl7": "Positive\nWeak\nNegative\n\n", "b_clean.txt": "Positive\nWeak\nNegative\n\n"}
+
+
+def test_large_files_are_read_in_splits(spark, tmp_path):
+    messages = ["\r".join([HEAD.replace("|7|", f"|{k}|"), f"PID|{k}||MSH^x", f"OBX|1|ST|c||{'v' * (k % 97)}"]) for k in range(3000)]
+    (tmp_path / "big.hl7").write_bytes(("FHS|^~\\&\rBHS|^~\\&\r" + "\r".join(messages) + "\rBTS|3000\rFTS|1\r").encode())
+    (tmp_path / "other.hl7").write_bytes("\r".join(messages[:3]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+    try:
+        rows = files.read_large(spark, f"{tmp_path}/*.hl7")
+        assert rows.rdd.getNumPartitions() > 8
+        got = rows.collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert sorted(r.message for r in got) == sorted(messages + messages[:3]) and len({r.message_id for r in got}) == 3003
+    assert {r.source_path.rpartition("/")[2] for r in got} == {"big.hl7", "other.hl7"}
+
+
+def test_composites_and_dates(spark):
+    fields = {
+        "PID": [{"fieldNumber": 3, "name": "Ids", "dataType": "CX", "usage": "R", "cardinality": "[1..*]"}, {"fieldNumber": 7, "name": "Birth", "dataType": "TS"}],
+        "CX": [{"fieldNumber": 1, "name": "Id", "dataType": "ST", "usage": "R"}, {"fieldNumber": 4, "name": "Authority", "dataType": "HD"}],
+        "HD": [{"fieldNumber": 2, "name": "Universal", "dataType": "NM", "usage": "R"}],
+    }
+    cases = {"PID|1||A^^^N&1||||20200229": [], "PID|1||A^^^N&x||||20200231": [("PID[1]-3.4.2", "INVALID_FIELD_TYPE"), ("PID[1]-7", "INVALID_FIELD_TYPE")], "PID|1||A^^^N~^^^N&2||||2019": [("PID[1]-3.1", "INVALID_USAGE"), ("PID[1]-3.4.2", "INVALID_USAGE")], "PID|1||A||||20190229120000": [("PID[1]-7", "INVALID_FIELD_TYPE")]}
+    df = spark.createDataFrame([(i, HEAD + "\r" + t) for i, t in enumerate(cases)], "message_id int, message string")
+    got = validate.field_checks(df, Profile.of({"segmentFields": fields})).collect()
+    for i, want in enumerate(cases.values()):
+        assert sorted((r.path, r.category) for r in got if r.message_id == i) == want
+
+
+def test_views_for_sql(spark):
+    from pipehat import sql
+
+    df = spark.createDataFrame([(1, REPORT), (2, VISIT), (3, "bad")], "message_id int, message string")
+    sql.register(spark, df, "v", {"result": "OBX-5", "drug": "ORC -> RXO-2"}, profile=CARE)
+    assert [r.value for r in spark.sql("SELECT value FROM v_values WHERE path = 'drug' ORDER BY occurrence").collect()] == ["asp", "ibu", "par"]
+    assert spark.sql("SELECT count(*) AS n FROM v_segments s JOIN v_segments p ON s.message_id = p.message_id AND s.parent_index = p.segment_index WHERE p.name = 'ORC'").first().n == 5
+    assert spark.sql("SELECT message_id FROM v_messages WHERE scan_error IS NOT NULL").first().message_id == 3
+    assert sql.arrow(spark.table("v_values")).num_rows == spark.table("v_values").count()
+
+
+def test_corpus_coverage():
+    from pipehat.plans.coverage import coverage
+
+    report = coverage(["PID-5.1", "OBX[@3.1='x||y']-5[2]", "ORC[1] -> RXO[$LAST]-2.1.1", "pid", "OBX[*]"])
+    assert report["paths"] == 5 and report["rejected"] == {"pid": "InvalidSegmentName"}
+    assert report["covered"]["filter"] == 1 and report["covered"]["child"] == 1 and report["covered"]["subcomponent"] == 1 and report["covered"]["last"] == 1
+    assert report["missing"] == ["field_all", "field_last", "ordering"]

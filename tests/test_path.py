@@ -12,7 +12,7 @@ from pipehat.plans.path import ALL, LAST, Field, Filter, Hop, Part, PathError, p
         ("Z1A[$LAST]-05[007].2.3", Hop("Z1A", LAST, Field(Part(5, 2, 3), 7))),
         ("PID[0]-0[$LAST].0", Hop("PID", 0, Field(Part(0, 0), LAST))),
         ("PID[4294967295]-1[*]", Hop("PID", 4294967295, Field(Part(1), ALL))),
-        ("OBX[@3.1='94500-6||a_b.C']-5", Hop("OBX", Filter(Part(3, 1), "=", ("94500-6", "a_b.C")), Field(Part(5)))),
+        ("OBX[@3.1='4711-0||a_b.C']-5", Hop("OBX", Filter(Part(3, 1), "=", ("4711-0", "a_b.C")), Field(Part(5)))),
         ("OBX[@4.2.1 \t>=\t '7']", Hop("OBX", Filter(Part(4, 2, 1), ">=", ("7",)))),
     ],
 )
