@@ -49,6 +49,8 @@ SHIFTS = 32
 QUERIES = 64
 HOT_SAMPLE = 64
 GROUP_TEXTS = 8192
+#: Tables of ids and digests of up to so many rows (some 50 MB) are sent to all executors, so that texts are not shuffled.
+SENT_ROWS = 1_500_000
 GROUP_SHINGLES = 1 << 23
 BLOCK_BYTES = 8 << 20
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -251,8 +253,26 @@ def close_pairs(groups: np.ndarray, fps: np.ndarray, sizes: np.ndarray, labels:
     return out
 
 
+def stars(pairs: list[tuple[int, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lanes that ``pairs`` join, each with the least lane it is joined to (not those that are least themselves)."""
+    root: dict[int, int] = {}
+
+    def top(i: int) -> int:
+        while (j := root.setdefault(i, i)) != i:
+            root[i] = root.setdefault(j, j)
+            i = root[i]
+        return i
+
+    for i, j in pairs:
+        x, y = top(i), top(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    lanes = [i for i in list(root) if top(i) != i]
+    return np.array(lanes, np.int64), np.array([top(i) for i in lanes], np.int64)
+
+
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted bucket rows (bucket, part, node, n, one, two, label) to forests of close nodes (bucket, part, a, b)."""
+    """Sorted bucket rows (bucket, part, node, n, one, two, label) to stars of what close nodes join (bucket, part, a, b): a is the least of b's."""
     held: list[list[np.ndarray]] = []
     rows = 0
 
@@ -266,9 +286,8 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if end:
             bucket, part, node, n, one, two, label = (x[:end] for x in whole)
             fps = np.stack([one.view(np.uint64), two.view(np.uint64)], 1)
-            pairs = np.array(close_pairs(np.cumsum(fresh[:end]), fps, n, label), np.int64).reshape(-1, 2)
-            a, b = np.minimum(node[pairs[:, 0]], node[pairs[:, 1]]), np.maximum(node[pairs[:, 0]], node[pairs[:, 1]])
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[pairs[:, 0]], part[pairs[:, 0]], a, b)], ["bucket", "part", "a", "b"])
+            lanes, heads = stars(close_pairs(np.cumsum(fresh[:end]), fps, n, label))
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in (bucket[lanes], part[lanes], node[heads], node[lanes])], ["bucket", "part", "a", "b"])
         held = [[x[end:] for x in whole]] if end < len(fresh) else []
         rows = len(fresh) - end
 
@@ -282,7 +301,7 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _close(rows: DataFrame) -> DataFrame:
-    """Forests of the close nodes of each bucket part of ``rows`` (bucket, part, node, n, one, two, label)."""
+    """Stars (bucket, part, a, b) of what the close nodes of each bucket part join, of ``rows`` (bucket, part, node, n, one, two, label)."""
     rows = rows.select("bucket", "part", "node", F.col("n").cast("long").alias("n"), "one", "two", "label")
     return rows.repartition("bucket", "part").sortWithinPartitions("bucket", "part", "node").mapInArrow(_compared, "bucket long, part long, a long, b long").where("a <> b")
 
@@ -401,10 +420,28 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([own.column(0), pa.array([shingles(x.lower().split()).tobytes() for x in texts(own.column(1))], pa.binary())], ["node", "hashes"])
 
 
+def _joined(stars_of: DataFrame) -> DataFrame:
+    """(node, root) of what the stars of all tables join.
+
+    A node has one head a table at most; all its heads are linked to the least of them, which leaves about one edge a node, however many tables or texts a group has.
+    """
+    heads = stars_of.groupBy("b").agg(F.collect_set("a").alias("heads")).select("b", F.array_min("heads").alias("least"), "heads")
+    heads = written(heads, "heads")
+    edges = heads.select(F.col("least").alias("a"), "b").union(heads.select(F.col("least").alias("a"), F.explode("heads").alias("b")).distinct())
+    out = written(components(edges), "candidates")
+    forget(heads)
+    return out
+
+
+def small(table: DataFrame, n: int) -> DataFrame:
+    """``table``, to be sent to all executors if its ``n`` rows of a few bytes are few enough."""
+    return F.broadcast(table) if n <= SENT_ROWS else table
+
+
 def _sets_of(nodes: DataFrame, docs: DataFrame, distinct: DataFrame) -> DataFrame:
     """(set_node, hashes) of ``nodes`` (node)."""
     needed = written(distinct.join(nodes, "node", "left_semi").select("node", F.col("key").alias("own_key")), "needed")
-    rows = docs.where("text is not null").select(key(F.col("text")).alias("key"), "text").join(needed, F.col("key") == F.col("own_key")).select("node", "text")
+    rows = docs.where("text is not null").select(key(F.col("text")).alias("key"), "text").join(small(needed, needed.count()), F.col("key") == F.col("own_key")).select("node", "text")
     out = written(rows.mapInArrow(_sets, "node long, hashes binary").groupBy(F.col("node").alias("set_node")).agg(F.first("hashes").alias("hashes")), "sets")
     forget(needed)
     return out
@@ -456,10 +493,10 @@ def near_duplicates(docs: DataFrame, hot_bucket: int = HOT_BUCKET, group_texts:
         dealt = others.union(hot.select("bucket", F.col("head.*"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")))
 
     pairs = written(_close(dealt.withColumn("label", F.col("node"))), "close")
-    found = written(components(pairs.select("a", "b")), "candidates")
+    found = _joined(pairs)
     if any_hot and (more := _strays(spread, dealt, hot, found)) is not None:
         pairs = written(pairs.union(_close(more)), "close")
-        found = written(components(pairs.select("a", "b")), "candidates")
+        found = _joined(pairs)
 
     sets = _sets_of(found.select("node"), docs, distinct)
     sizes = found.join(distinct.select("node", "n"), "node").groupBy("root").agg(F.count("*").alias("texts"), F.sum("n").alias("shingles"))
