@@ -299,12 +299,25 @@ def _ranges(places: np.ndarray, rows: list[tuple]) -> list[tuple[int, int, int,
 def index_marks(rows: list[tuple], old: int = 0) -> tuple[list[tuple[int, int, int, int]], list[tuple]]:
     """Marks of ``rows`` (doc_id, ord, block, row, start, segment, windows, anchor) in corpus order, and the rows that hold a window of their own.
 
-    The first ``old`` rows were judged before and get no marks.
+    The first ``old`` rows were judged before and get no marks. Equal segments are one text of the index: the first of them; and an
+    anchor with one such text repeats nothing but that.
     """
-    places = repeated_windows([r[5] for r in rows])
-    owner = np.searchsorted(np.cumsum([len(r[5]) for r in rows]), places, "right")
-    repeated = np.bincount(owner, minlength=len(rows))
-    return _ranges(places[owner >= old], rows), [r for k, r in enumerate(rows) if k < old or repeated[k] < r[6]]
+    marks, first, variety = [], {}, {}
+    for k, r in enumerate(rows):
+        if r[5] in first:
+            marks.append((r[2], r[3], r[4], r[6]))
+        else:
+            first[r[5]] = k
+            variety[r[7]] = variety.get(r[7], 0) + 1
+    own = list(first.values())
+    asked = [k for k in own if variety[rows[k][7]] > 1]
+    repeated = np.zeros(len(rows), np.int64)
+    if asked:
+        places = repeated_windows([rows[k][5] for k in asked])
+        owner = np.searchsorted(np.cumsum([len(rows[k][5]) for k in asked]), places, "right")
+        repeated[asked] = np.bincount(owner, minlength=len(asked))
+        marks += _ranges(places[np.array(asked)[owner] >= old] if len(places) else places, [rows[k] for k in asked])
+    return marks, [rows[k] for k in own if k < old or repeated[k] < rows[k][6]]
 
 
 def corpus_order(row: tuple) -> tuple:
