@@ -71,13 +71,10 @@ TEMPLATES = (
 @dataclass(frozen=True)
 class Model:
     names: tuple[str, ...]
-    vectors: tuple[dict[int, float], ...]
-    idf: dict[int, float]
-    rare: float
     anchors: np.ndarray
     known: np.ndarray  # the sorted words of all templates
-    squares: np.ndarray  # the squared weight of one place that holds each of them, and of an unknown word
-    shares: np.ndarray  # of each template, what one place that holds each of them adds to the product
+    weights: np.ndarray  # the weight of one place that holds each of them, and of an unknown word
+    directions: np.ndarray  # the templates' vectors of length 1 over these words
     sizes: tuple[int, ...]  # the words of each template
 
 
@@ -100,17 +97,19 @@ def model(templates: tuple[tuple[str, str], ...] = TEMPLATES, cosine: float = CO
             left -= v[w] ** 2
     rare, known = math.log(1 + n) + 1, sorted(idf)
     weights = np.array([*(idf[w] for w in known), rare])
-    shares = np.array([[v.get(w, 0.0) for w in [*known, None]] for v in vectors]) * weights
-    return Model(tuple(k for k, _ in templates), tuple(vectors), idf, rare, np.array(sorted(anchors), np.uint64), np.array(known, np.uint64), weights**2, shares, tuple(sum(c.values()) for c in counts))
+    directions = np.array([[v.get(w, 0.0) for w in [*known, None]] for v in vectors])
+    return Model(tuple(k for k, _ in templates), np.array(sorted(anchors), np.uint64), np.array(known, np.uint64), weights, directions, tuple(sum(c.values()) for c in counts))
 
 
 def best(m: Model, hashes: np.ndarray) -> tuple[float, str]:
     """The highest cosine of a text of these words to a template, and whose it is; of equal ones, the first name."""
     own, counts = np.unique(hashes, return_counts=True)
-    weights = {w: k * m.idf.get(w, m.rare) for w, k in zip(own.tolist(), counts.tolist(), strict=True)}
-    norm = math.sqrt(sum(x * x for x in weights.values()))
-    score = lambda v: round(sum(x * weights.get(w, 0.0) for w, x in v.items()) / norm, 9) if norm else 0.0
-    return max(((score(v), name) for v, name in zip(m.vectors, m.names, strict=True)), key=lambda x: (x[0], [-ord(c) for c in x[1]]))
+    at = np.minimum(np.searchsorted(m.known, own), len(m.known) - 1)
+    code = np.where(m.known[at] == own, at, len(m.known))
+    weights = counts * m.weights[code]
+    norm = math.sqrt(float(weights @ weights))
+    scores = np.round(m.directions[:, code] @ weights / norm, 9) if norm else np.zeros(len(m.names))
+    return float(scores.max()), min(m.names[k] for k in np.flatnonzero(scores == scores.max()))
 
 
 def matches(m: Model, data: np.ndarray, offsets: np.ndarray, cosine: float = COSINE) -> list[tuple[float, str | None, float, str | None]]:
@@ -137,11 +136,11 @@ def matches(m: Model, data: np.ndarray, offsets: np.ndarray, cosine: float = COS
     filled = np.flatnonzero(np.diff(own.rows))
     units = np.stack([np.concatenate([heads, heads[first], own.rows[filled]]), np.concatenate([tails, tails[last], own.rows[filled + 1]])])
     is_whole = np.arange(units.shape[1]) >= units.shape[1] - len(filled)
-    squares = np.concatenate([[0.0], np.cumsum(m.squares[code])])
+    squares = np.concatenate([[0.0], np.cumsum(m.weights[code] ** 2)])
     least = (cosine - 1e-6) * np.sqrt(squares[units[1]] - squares[units[0]])
     worth = np.zeros(units.shape[1], bool)
     windows = []
-    for share, size in zip(m.shares, m.sizes, strict=True):
+    for share, size in zip(m.directions * m.weights, m.sizes, strict=True):
         total = np.concatenate([[0.0], np.cumsum(share[code])])
         worth |= total[units[1]] - total[units[0]] >= least
         if size <= n:
