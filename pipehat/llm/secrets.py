@@ -26,6 +26,8 @@ BLOCK = r"-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=,:\s-]{0,20000}?--
 SIGNED = r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{6,}+\.[A-Za-z0-9_-]{6,}+(?:\.[A-Za-z0-9_-]*+)?"
 VALUE = r"(?<=[:=\s\"'])(?<=(?i:" + ASSIGNED + r")[\"']?\s{0,2}[:=]\s{0,2}[\"']?)(?![\"'\s:=])[^\s\"'`,;<>()\[\]{}]{" + f"{SHORTEST},{LONGEST}" + "}+"
 CANDIDATE = f"{BLOCK}|{SIGNED}|{VALUE}|{RUN}"
+#: What the kinds before the last need somewhere in a text; without it, runs are all there is, and the shorter pattern finds the same.
+NAMED = f"(?i)(?:{ASSIGNED})[\"']?\\s{{0,2}}[:=]"
 CONTEXT = 48
 TREES, DEPTH, SEED = 24, 7, 5
 TRAINING_ROWS = 12_000
@@ -205,11 +207,13 @@ def _starts(sizes: Column, block: int = 256) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, path, start, candidate, before, after) for the candidates of ``docs`` (doc_id, path, text); offsets in code points."""
-    found = F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))
+    text = F.col("text")
+    named = text.contains("eyJ") | text.contains("PRIVATE KEY") | ((text.contains(":") | text.contains("=")) & text.rlike(NAMED))
+    found = F.when(named, F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).otherwise(F.regexp_extract_all("text", F.lit(RUN), F.lit(0)))
     # generators over one-row arrays, so that each step is evaluated once and not written into the next
     once = lambda rows, **columns: rows.select("doc_id", "path", F.inline(F.array(F.struct(*(c.alias(k) for k, c in columns.items())))))
-    rows = once(docs.where(F.col("text").isNotNull()), text=F.col("text"), found=found).where(F.size("found") > 0)
-    rows = once(rows, found=F.col("found"), between=F.split("text", CANDIDATE, -1))
+    rows = once(docs.where(F.col("text").isNotNull()), text=F.col("text"), found=found, named=named).where(F.size("found") > 0)
+    rows = once(rows, found=F.col("found"), between=F.when(F.col("named"), F.split("text", CANDIDATE, -1)).otherwise(F.split("text", RUN, -1)))
     sizes = F.zip_with("found", F.slice("between", F.lit(1), F.size("found")), lambda c, g: F.length(c) + F.length(g))
     rows = once(rows, found=F.col("found"), between=F.col("between"), sizes=sizes)
     rows = once(rows, found=F.col("found"), between=F.col("between"), ahead=_starts(F.col("sizes")))
