@@ -43,7 +43,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     forget(found)
     same = F.col("doc_id").eqNullSafe(F.col("odd_id")) & (F.col("key") == F.col("odd_key"))
     rows = docs.where(~nothing).withColumn("key", simhash_sets.key(F.col("text")))
-    kept = rows.join(odd, same, "left_anti").select(*COLUMNS)
+    kept = rows.join(simhash_sets.small(odd, odd.count()), same, "left_anti").select(*COLUMNS)
     again = odd.where("stays")
     if not again.isEmpty():  # of repeated rows, one stays
         least = rows.join(again, same, "left_semi").groupBy("doc_id", "key").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row"))
