@@ -174,9 +174,8 @@ def child_values(spark, sf_dir):
 def child_by_number(spark, sf_dir):
     """A child's number counts from 0 among all children, or from 1 among its own below each parent."""
     base = frames.scan(synth.messages(spark, sf_dir))
-    a = frames.query(base, {"second": "OBR[1] -> OBX[1]-3.1", "grandchildren": "OBR -> NTE-3"}, profile=PROFILE)
-    b = frames.query(base, {"own": "OBR[1] -> OBX[2]-3.1"}, profile=PROFILE, child_index="per_parent").select(F.col("message_id").alias("id"), "own")
-    rows = a.join(b, F.col("message_id") == F.col("id"))
+    rows = frames.query(base, {"second": "OBR[1] -> OBX[1]-3.1", "grandchildren": "OBR -> NTE-3"}, profile=PROFILE)
+    rows = frames.query(rows, {"own": "OBR[1] -> OBX[2]-3.1"}, profile=PROFILE, child_index="per_parent")
     rows = rows.select("message_id", extract.first_value(F.col("second")).alias("second"), extract.first_value(F.col("own")).alias("own_second"), F.size("grandchildren").alias("grandchildren"))
     return rows.where("second is not null")
 
