@@ -213,6 +213,8 @@ def read_records(index: DataFrame, folder: str, payloads: bool = True) -> DataFr
                 out = []
                 for archive, offset, length in zip(*(batch.column(i).slice(k, 512).to_pylist() for i in range(3)), strict=True):
                     if archive != name:
+                        if stream is not None:
+                            stream.close()
                         name, stream = archive, store.open_input_file(f"{path}/{archive}")
                     headers, block = parsed(zlib.decompress(stream.read_at(length, offset), 31))
                     digest, size = headers["warc-payload-digest"].removeprefix("sha256:"), int(headers["x-payload-length"])
@@ -231,7 +233,8 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
     """``pages`` (page_id, url, html) written to ``folder`` as normalised archives; returns their index.
 
     Null html is an empty payload; null ids and urls are written as empty. Repeated rows are records of
-    their own, all but one of them revisits. An empty table writes nothing.
+    their own, all but one of them revisits; of rows that tie for the smallest id, the first in its archive stays. A very long page is a
+    slice of a batch and an archive of its own. Other columns of ``pages`` are not read. An empty table writes nothing.
     """
     spark = pages.sparkSession
     raw = scratch_path(spark, "whole")
@@ -246,6 +249,7 @@ def archived(pages: DataFrame, folder: str) -> DataFrame:
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A record of every page, written and read back; see ``archived`` for nulls, empty and very long pages, ties and repeated rows."""
     folder = scratch_path(spark, "warc")
     index = archived(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), folder)
     return read_records(index, folder, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
