@@ -100,10 +100,29 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, name: str, n: int, column: str, *order: str) -> DataFrame:
+    """``df`` written like ``written``, in ``n`` buckets by ``column`` and sorted by it and ``order``: groups by ``column`` need no shuffle of it.
+
+    Spark knows buckets only of tables in the catalog, so there is an entry there until ``forget``; the files lie in the shared folder.
+    """
+    spark = df.sparkSession
+    path, table = scratch_path(spark, name), f"pipehat_{name}_{uuid.uuid4().hex}"
+    _begin(spark)
+    try:
+        df.write.option("compression", "zstd").option("path", path).bucketBy(n, column).sortBy(column, *order).saveAsTable(table)
+    finally:
+        _end(spark)
+    out = spark.table(table)
+    out._pipehat_path, out._pipehat_table = path, table
+    return out
+
+
 def forget(*tables: DataFrame) -> None:
-    """Delete tables made by ``written`` that nothing will read again."""
+    """Delete tables made by ``written`` or ``bucketed`` that nothing will read again."""
     for df in tables:
-        path = getattr(df, "_pipehat_path", None)
+        table, path = getattr(df, "_pipehat_table", None), getattr(df, "_pipehat_path", None)
+        if table:
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {table}")
         if path:
             delete_path(df.sparkSession, path)
 

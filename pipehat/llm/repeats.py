@@ -4,7 +4,7 @@ A string of ``LENGTH`` bytes is removed wherever it also starts earlier (smaller
 document and earlier start). How the work is dealt out:
 
 1. Equal texts: the first keeps the text; the others repeat it as a whole. Distinct texts are packed
-   into blocks of about ``BLOCK_BYTES``.
+   into blocks of about ``BLOCK_BYTES``, and written in buckets by block: that is the one shuffle of whole texts, later steps read the blocks where they lie.
 2. Every window of ``LENGTH`` bytes is owned by an anchor, the least of its ``ANCHOR``-byte strings by
    hash. Equal windows have equal anchors, so only windows of anchors that occur twice are looked at.
    Each block sends an anchor once however often it holds it, so no anchor has more rows than blocks.
@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, forget, text_bytes, texts, written
+from .common import bucketed, documents, forget, text_bytes, texts, written
 
 LENGTH, ANCHOR = 100, 32
 SPAN = LENGTH - ANCHOR + 1
@@ -218,24 +218,52 @@ SEGMENTS = "anchor long, doc_id long, ord long, block long, row int, start int,
 MARKS = "block long, row int, start int, windows int"
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def bucket_of(block: np.ndarray, n: int) -> np.ndarray:
+    """The bucket, of ``n``, that Spark puts a long value into: its 32-bit Murmur3 hash with seed 42, modulo ``n``."""
+    u = np.uint32
+    turn = lambda x, k: (x << u(k)) | (x >> u(32 - k))
+    block = np.asarray(block, np.int64).view(np.uint64)
+    h = np.full(block.shape, 42, u)
+    for half in ((block & np.uint64(0xFFFFFFFF)).astype(u), (block >> np.uint64(32)).astype(u)):
+        h = turn(h ^ turn(half * u(0xCC9E2D51), 15) * u(0x1B873593), 13) * u(5) + u(0xE6546B64)
+    h ^= u(8)
+    h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+    h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+    return (h ^ (h >> u(16))).view(np.int32).astype(np.int64) % n
+
+
+def own_blocks(task: int, n: int) -> Iterator[int]:
+    """Block numbers that only this task uses and that fall into one of ``n`` buckets: what a task writes is one file, and stays together."""
+    start = task << 32
+    while True:
+        found = np.arange(start, start + max(4 * n, 1024))
+        yield from found[bucket_of(found, n) == task % n].tolist()
+        start += len(found)
+
+
+def _blocks(n_buckets: int):
     """Numbers blocks of about BLOCK_BYTES of text, and the rows in each; exactly repeated rows go once."""
-    base, number, row, size, seen = TaskContext.get().partitionId() << 32, 0, 0, 0, set()
-    for batch in batches:
-        keep, blocks, rows = [], [], []
-        sizes = np.diff(text_bytes(batch.column(2))[1]).tolist()
-        for i, (doc, sha, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, strict=True)):
-            if (doc, sha) in seen:
-                continue
-            seen.add((doc, sha))
-            if row and size + n > BLOCK_BYTES:
-                number, row, size = number + 1, 0, 0
-            keep.append(i)
-            blocks.append(base + number)
-            rows.append(row)
-            row, size = row + 1, size + n
-        part = batch.take(pa.array(keep, pa.int64()))
-        yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blocks, pa.int64()), pa.array(rows, pa.int32())], ["doc_id", "sha", "text", "block", "row"])
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        numbers = own_blocks(TaskContext.get().partitionId(), n_buckets)
+        number, row, size, seen = next(numbers), 0, 0, set()
+        for batch in batches:
+            keep, blocks, rows = [], [], []
+            sizes = np.diff(text_bytes(batch.column(2))[1]).tolist()
+            for i, (doc, sha, n) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), sizes, strict=True)):
+                if (doc, sha) in seen:
+                    continue
+                seen.add((doc, sha))
+                if row and size + n > BLOCK_BYTES:
+                    number, row, size = next(numbers), 0, 0
+                keep.append(i)
+                blocks.append(number)
+                rows.append(row)
+                row, size = row + 1, size + n
+            part = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*part.columns, pa.array(blocks, pa.int64()), pa.array(rows, pa.int32())], ["doc_id", "sha", "text", "block", "row"])
+
+    return blocks
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -427,6 +455,28 @@ def _kept(group: pa.Table, marks: pa.Table) -> pa.Table:
     return pa.table([pa.array([x[i] for x in out], t) for i, t in enumerate(kinds)], ["of_id", "of_sha", "removed", "spans", "kept"])
 
 
+def judged(blocks: DataFrame, hot_segments: int) -> DataFrame:
+    """(of_id, of_sha, removed, spans, kept) of the texts of ``blocks`` that lose something."""
+    keyed = blocks.withColumn("ord", F.xxhash64("sha"))
+
+    anchors = blocks.select("text", "block").mapInArrow(_anchors, "anchor long, place long")
+    every = "count(*) over (partition by anchor) + max(place % 2) over (partition by anchor)"
+    repeated = anchors.withColumn("times", F.expr(every)).where("times > 1").select("anchor", F.expr("place div 2").alias("block"))
+    repeated = written(repeated, "repeated")
+    grouped = keyed.select("block", "row", "doc_id", "ord", "text").groupBy("block")
+    segments = written(grouped.cogroup(repeated.groupBy("block")).applyInArrow(_segments, SEGMENTS), "segments")
+
+    sent = cooled(segments.where("segment is not null"), hot_segments).select("doc_id", "ord", "block", "row", "start", "segment", "windows", "anchor")
+    sent = sent.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").isNull(), "doc_id", "ord", "block", "row", "start")
+    marks = segments.where("segment is null").select(*(F.col(c).cast("long") for c in ("block", "row", "start", "windows")))
+    marks = written(marks.union(sent.mapInArrow(_marked, "block long, row long, start long, windows long")), "marks")
+
+    kept = blocks.select("block", "doc_id", "sha", "row", "text").groupBy("block").cogroup(marks.groupBy("block"))
+    kept = written(kept.applyInArrow(_kept, "of_id long, of_sha binary, removed long, spans long, kept string"), "kept")
+    forget(repeated, segments, marks)
+    return kept
+
+
 def without_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every row of ``docs`` (doc_id, text).
 
@@ -444,24 +494,12 @@ def without_repeats(docs: DataFrame, hot_segments: int = HOT_SEGMENTS) -> DataFr
     firsts = written(firsts.select(F.col("sha").alias("first_sha"), "first_id"), "firsts")
     alike = (F.col("sha") == F.col("first_sha")) & F.col("doc_id").eqNullSafe(F.col("first_id"))
     distinct = rows.join(firsts.hint("shuffle_hash"), alike, "left_semi").select("doc_id", "sha", "text")
-    blocks = written(distinct.mapInArrow(_blocks, "doc_id long, sha binary, text binary, block long, row int"), "blocks")
-    keyed = blocks.withColumn("ord", F.xxhash64("sha"))
-
-    anchors = blocks.select("text", "block").mapInArrow(_anchors, "anchor long, place long")
-    every = "count(*) over (partition by anchor) + max(place % 2) over (partition by anchor)"
-    repeated = anchors.withColumn("times", F.expr(every)).where("times > 1").select("anchor", F.expr("place div 2").alias("block"))
-    repeated = written(repeated, "repeated")
-    grouped = keyed.select("block", "row", "doc_id", "ord", "text").groupBy("block")
-    segments = written(grouped.cogroup(repeated.groupBy("block")).applyInArrow(_segments, SEGMENTS), "segments")
-
-    sent = cooled(segments.where("segment is not null"), hot_segments).select("doc_id", "ord", "block", "row", "start", "segment", "windows", "anchor")
-    sent = sent.repartition("anchor").sortWithinPartitions("anchor", F.col("doc_id").isNull(), "doc_id", "ord", "block", "row", "start")
-    marks = segments.where("segment is null").select(*(F.col(c).cast("long") for c in ("block", "row", "start", "windows")))
-    marks = written(marks.union(sent.mapInArrow(_marked, "block long, row long, start long, windows long")), "marks")
-
-    kept = blocks.select("block", "doc_id", "sha", "row", "text").groupBy("block").cogroup(marks.groupBy("block"))
-    kept = written(kept.applyInArrow(_kept, "of_id long, of_sha binary, removed long, spans long, kept string"), "kept")
-    forget(blocks, repeated, segments, marks)
+    n_buckets = min(int(spark.conf.get("spark.sql.shuffle.partitions")), int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
+    blocks = bucketed(distinct.mapInArrow(_blocks(n_buckets), "doc_id long, sha binary, text binary, block long, row int"), "blocks", n_buckets, "block", "row")
+    try:
+        kept = judged(blocks, hot_segments)
+    finally:
+        forget(blocks)
     kept = kept.join(firsts, (F.col("of_sha") == F.col("first_sha")) & F.col("of_id").eqNullSafe(F.col("first_id")), "full")
     kept = kept.select(F.coalesce("of_sha", "first_sha").alias("of_sha"), "first_id", "removed", "spans", "kept")
     out = ids.join(kept, F.col("sha") == F.col("of_sha"), "left")

@@ -166,3 +166,37 @@ def test_odd_rows(spark):
     got = sorted((str(r.doc_id), r.n_bytes, r.n_removed) for r in repeats.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert [g for g in got if g[0] != "4"] == [("9", 170, 170), ("None", 170, 170)]
     assert [g[1] for g in got if g[0] == "4"] == [170, 170, 360] and got[0][2] == got[1][2]
+
+
+def test_blocks_lie_in_their_task_s_bucket(spark):
+    from pyspark.sql import functions as F
+
+    numbers = [0, 1, -1, 5 << 32, (7 << 32) + 12345, -(1 << 40) - 3]
+    df = spark.createDataFrame([(x,) for x in numbers], "block long")
+    for n in (1, 4, 97, 5000):
+        assert [r.b for r in df.select(F.expr(f"pmod(hash(block), {n})").alias("b")).collect()] == repeats.bucket_of(np.array(numbers), n).tolist()
+    own = {t: [x for _, x in zip(range(300), repeats.own_blocks(t, 4), strict=False)] for t in (0, 1, 6)}
+    assert len({x for v in own.values() for x in v}) == 900 and all((repeats.bucket_of(np.array(v), 4) == t % 4).all() for t, v in own.items())
+
+
+def test_texts_are_shuffled_once_and_nothing_is_left_behind(spark, monkeypatch):
+    plans, real = {}, repeats.written
+
+    def seen(df, name, *args):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, *args)
+
+    monkeypatch.setattr(repeats, "written", seen)
+    results(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    for name in ("segments", "kept"):
+        assert plans[name].count("Exchange hashpartitioning(block") == 1  # of the anchors or the marks
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pipehat_blocks")]
+
+
+def test_a_failure_leaves_no_table(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "cooled", lambda *_: 1 / 0)
+    try:
+        repeats.without_repeats(spark.createDataFrame(corpus(), "doc_id long, text string"))
+    except ZeroDivisionError:
+        pass
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("pipehat_blocks")]
